@@ -3,12 +3,12 @@
 A byte goes if a ``length``-byte string covers it that also starts in a document with a smaller id.
 
 1. Documents are packed into blocks, written once to the shared folder.
-2. Sieve: each ``length``-byte window belongs to the run of windows that share its smallest 16-byte gram. Grams that
+2. Sieve: each ``length``-byte window belongs to the run of windows that share its smallest 20-byte gram. Grams that
    only one document holds can't matter. Blocks send sorted gram hashes by hash range; each range answers with bit masks.
 3. The runs whose gram two documents hold become short strings; equal strings collapse to one with the smallest id.
    Runs of a gram in very many documents are cut into single windows, dealt by the window itself, so that no gram makes
    a large group: equal windows collapse in each block, different ones scatter.
-4. In each range, strings form shards. Each shard gets a suffix array and its Burrows-Wheeler transform. The shards are
+4. In each range, the strings of each gram that has several form shards. Each shard gets a suffix array and its Burrows-Wheeler transform. The shards are
    merged by interleave refinement: after round h the merged order is right for the first h characters, and the
    boundaries that round h adds have a common prefix of h - 1. No suffix of the whole is sorted again. After
    ``length`` rounds, the intervals without a boundary are the repeated strings; the smallest id in each is the answer.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from meridax.llm._bytes import U64, RangeHash, longs, mix, portions, ragged, utf8, windowed_min
 from meridax.llm._scratch import staged
 
-GRAM = 16
+GRAM = 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -116,9 +116,9 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], st
     n, m = len(last), len(ends)
     merged = np.arange(n, dtype=np.int32)
     group = np.zeros(n, np.int32)
-    prefix = np.full(n, depth, np.int16)
+    prefix = np.zeros(n, np.int16)
     fresh = np.ones(n, bool)
-    for round_ in range(1, depth + 1):
+    for _ in range(depth):
         by = last[merged]
         turn = np.argsort(by, kind="stable")
         by, old = by[turn], group[turn]
@@ -126,7 +126,7 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], st
         merged[:m] = ends
         fresh[1:] = (by[1:] != by[:-1]) | (old[1:] != old[:-1])
         fresh[: m + 1] = True
-        prefix[fresh & (prefix == depth)] = round_ - 1
+        prefix += ~fresh  # a boundary, once there, stays
         np.cumsum(fresh, out=group)
     return merged, prefix
 
@@ -230,6 +230,19 @@ def _slices(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return part[begins].astype(np.int64), np.append(begins, len(part))
 
 
+def _fives(grams: np.ndarray, ranges: int) -> np.ndarray:
+    """Of each hash, 40 bits below those that number its range."""
+    shift = max(0, 24 - (ranges.bit_length() - 1))
+    wide = (grams >> U64(shift)) & U64((1 << 40) - 1)
+    return wide.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _from_fives(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
 _SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("body", pa.binary()), ("more", pa.binary())])
 _TOLD = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.binary())])
@@ -273,10 +286,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, bloc
                 grams, documents = Runs(data, at, length).grams()
                 parts, edges = _slices(grams, ranges)
                 documents = np.minimum(documents, 65535).astype(np.uint16)
-                yield _rows(_SENT, parts, [row["block"]] * len(parts), [grams[a:b].tobytes() for a, b in zip(edges, edges[1:])], [_zip(documents[a:b]) for a, b in zip(edges, edges[1:])])
+                short = _fives(grams, ranges)
+                yield _rows(_SENT, parts, [row["block"]] * len(parts), [short[a:b].tobytes() for a, b in zip(edges, edges[1:])], [_zip(documents[a:b]) for a, b in zip(edges, edges[1:])])
 
     def shared(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, U64) for x in table["body"].to_pylist()]
+        sent = [_from_fives(x) for x in table["body"].to_pylist()]
         counts = [_unzip(x, np.uint16) for x in table["more"].to_pylist()]
         every, weight = np.concatenate(sent), np.concatenate(counts).astype(np.int64)
         order = np.argsort(every, kind="stable")
@@ -308,14 +322,15 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, bloc
                 s = Runs(data, at, length).strings(level > 0, level > 1, ids)
                 first, size, least = s["first"][s["fresh"]], s["size"][s["fresh"]], ids[s["doc"][s["fresh"]]]
                 parts, edges = _slices(s["key"][s["fresh"]], ranges)
-                bodies = [data[ragged(first[a:b], size[a:b])].tobytes() for a, b in zip(edges, edges[1:])]
-                more = [_zip(np.concatenate([size[a:b], least[a:b]])) for a, b in zip(edges, edges[1:])]
+                key = s["key"][s["fresh"]].view(np.int64)
+                bodies = [_zip(data[ragged(first[a:b], size[a:b])]) for a, b in zip(edges, edges[1:])]
+                more = [_zip(np.concatenate([size[a:b], least[a:b], key[a:b]])) for a, b in zip(edges, edges[1:])]
                 yield _rows(_SENT, parts, [row["block"]] * len(parts), bodies, more)
 
     def merge(table: pa.Table) -> pa.Table:
-        about = [_unzip(x, np.int64).reshape(2, -1) for x in table["more"].to_pylist()]
-        data = np.frombuffer(b"".join(table["body"].to_pylist()), np.uint8)
-        size, ids = np.concatenate([x[0] for x in about]), np.concatenate([x[1] for x in about])
+        about = [_unzip(x, np.int64).reshape(3, -1) for x in table["more"].to_pylist()]
+        data = np.concatenate([_unzip(x, np.uint8) for x in table["body"].to_pylist()])
+        size, ids, key = (np.concatenate([x[i] for x in about]) for i in range(3))
         at = np.concatenate([[0], np.cumsum(size)])
         content = RangeHash(data).of(at[:-1], at[1:])
         order = np.lexsort((ids, content))
@@ -324,7 +339,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, bloc
         number[order] = np.cumsum(fresh) - 1
         chosen = order[fresh]  # of equal strings one stays, with the smallest id
         own = np.concatenate([[0], np.cumsum(size[chosen])])
-        least = smallest_by_window(data[ragged(at[chosen], size[chosen])], own, ids[chosen], length)
+        _, group, members = np.unique(key[chosen], return_inverse=True, return_counts=True)
+        least = np.repeat(ids[chosen], size[chosen])  # right for the only string of its gram
+        several = np.flatnonzero(members[group] > 1)
+        if len(several):
+            part = ragged(own[several], size[several])
+            text = data[ragged(at[chosen[several]], size[chosen[several]])]
+            least[part] = smallest_by_window(text, np.concatenate([[0], np.cumsum(size[chosen[several]])]), ids[chosen[several]], length)
         edges = np.cumsum([0, *(x.shape[1] for x in about)])
         body = [_zip(least[ragged(own[number[a:b]], size[a:b] - length + 1)]) for a, b in zip(edges, edges[1:])]
         return pa.table([table["block"].cast(pa.int64()), table["part"].cast(pa.int32()), pa.array(body, pa.binary())], schema=_TOLD)
