@@ -343,7 +343,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, bloc
         least = np.repeat(ids[chosen], size[chosen])  # right for the only string of its gram
         several = np.flatnonzero(members[group] > 1)
         if len(several):
-            part = ragged(own[several], size[several])
+            part = ragged(own[several], size[chosen[several]])
             text = data[ragged(at[chosen[several]], size[chosen[several]])]
             least[part] = smallest_by_window(text, np.concatenate([[0], np.cumsum(size[chosen[several]])]), ids[chosen[several]], length)
         edges = np.cumsum([0, *(x.shape[1] for x in about)])
