@@ -2,7 +2,7 @@
 
 1. Texts become ids plus an end id; longer ones are cut into pieces of ``capacity``. Pieces are written once.
 2. Only the histogram of lengths (at most ``capacity`` numbers) comes to the driver.
-3. Lengths are rounded up to ``capacity / 128`` size classes. The program, cover each class with patterns that fit into a
+3. Lengths are rounded up to ``capacity / 512`` size classes. The program, cover each class with patterns that fit into a
    sequence, is solved by multiplicative weights: a knapsack dynamic program finds the pattern of most weight; it is taken
    for a small share of the scarcest class it holds; covered classes lose weight.
 4. Patterns are rounded down; the rest, and the short lengths, fill the gaps by best fit, longest first.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from meridax.llm._scratch import staged
 from meridax.llm.tokenizing import tokenizer_path, word_cache
 
-CLASSES = 128
+CLASSES = 512
 
 
 def best_pattern(weight: np.ndarray, units: int) -> tuple[float, Counter]:
