@@ -154,7 +154,7 @@ def smallest_by_window(data: np.ndarray, at: np.ndarray, ids: np.ndarray, length
 class Runs:
     """The runs of windows with one smallest gram, over all documents of a block."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, portion: int = 1 << 20):
+    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, portion: int = 1 << 19):
         self.data, self.at, self.length = data, at, length
         parts = []
         lengths = np.diff(at)
@@ -259,7 +259,7 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.decompress(row["body"]), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(row["ids"], np.int64)
 
 
-def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, block_bytes: int = 2 << 20, range_bytes: int = 4 << 20, hot_documents: int = 2000, with_kept: bool = True) -> DataFrame:
+def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, block_bytes: int = 1 << 20, range_bytes: int = 2 << 20, hot_documents: int = 2000, with_kept: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_kept``, the remaining bytes ``kept``.
 
     ``range_bytes``: text per hash range, which bounds what a merging task holds. ``hot_documents``: grams in more
