@@ -134,9 +134,7 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], st
 def smallest_by_window(data: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int, shard_bytes: int = 1 << 16) -> np.ndarray:
     """For each byte of the given strings at which ``length`` bytes start: the smallest id of a string with the same bytes anywhere (elsewhere: no meaning)."""
     m = len(at) - 1
-    cuts = [0]
-    while cuts[-1] < m:
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + shard_bytes, "right")) - 1))
+    cuts = _cuts(at, shard_bytes)
     shards = [shard_transform(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in zip(cuts, cuts[1:])]
     merged, prefix = merged_intervals(shards, [b - a for a, b in zip(cuts, cuts[1:])], length)
     place = np.concatenate([s[0] + (at[a] + a) for s, a in zip(shards, cuts)])[merged]
@@ -148,13 +146,24 @@ def smallest_by_window(data: np.ndarray, at: np.ndarray, ids: np.ndarray, length
     return out[ragged(at[:-1] + np.arange(m), np.diff(at))]
 
 
+def _cuts(at: np.ndarray, size: int, together: np.ndarray | None = None) -> list[int]:
+    """Where to cut strings at offsets ``at`` into batches of about ``size`` bytes; ``together``: equal neighbours stay in one batch."""
+    cuts, n = [0], len(at) - 1
+    while cuts[-1] < n:
+        cut = max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + size, "right")) - 1)
+        if together is not None and cut < n:
+            cut = int(np.searchsorted(together, together[cut - 1], "right"))
+        cuts.append(cut)
+    return cuts
+
+
 # ---------------------------------------------------------------- blocks and their runs
 
 
 class Runs:
     """The runs of windows with one smallest gram, over all documents of a block."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, portion: int = 1 << 19):
+    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, portion: int = 1 << 18):
         self.data, self.at, self.length = data, at, length
         parts = []
         lengths = np.diff(at)
@@ -259,11 +268,11 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.decompress(row["body"]), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(row["ids"], np.int64)
 
 
-def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, block_bytes: int = 1 << 20, range_bytes: int = 2 << 20, hot_documents: int = 2000, with_kept: bool = True) -> DataFrame:
+def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, block_bytes: int = 1 << 20, range_bytes: int = 2 << 20, hot_documents: int = 2000, batch_bytes: int = 1 << 18, with_kept: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_kept``, the remaining bytes ``kept``.
 
     ``range_bytes``: text per hash range, which bounds what a merging task holds. ``hot_documents``: grams in more
-    documents are dealt window by window; it changes no result.
+    documents are dealt window by window. ``batch_bytes``: what is merged at once. None of these changes a result.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
@@ -332,7 +341,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, bloc
         data = np.concatenate([_unzip(x, np.uint8) for x in table["body"].to_pylist()])
         size, ids, key = (np.concatenate([x[i] for x in about]) for i in range(3))
         at = np.concatenate([[0], np.cumsum(size)])
-        content = RangeHash(data).of(at[:-1], at[1:])
+        cuts = _cuts(at, batch_bytes)
+        content = np.concatenate([RangeHash(data[at[a] : at[b]]).of(at[a:b] - at[a], at[a + 1 : b + 1] - at[a]) for a, b in zip(cuts, cuts[1:])])
         order = np.lexsort((ids, content))
         fresh = np.concatenate([[True], content[order][1:] != content[order][:-1]])
         number = np.empty(len(order), np.int64)
@@ -342,10 +352,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, bloc
         _, group, members = np.unique(key[chosen], return_inverse=True, return_counts=True)
         least = np.repeat(ids[chosen], size[chosen])  # right for the only string of its gram
         several = np.flatnonzero(members[group] > 1)
-        if len(several):
-            part = ragged(own[several], size[chosen[several]])
-            text = data[ragged(at[chosen[several]], size[chosen[several]])]
-            least[part] = smallest_by_window(text, np.concatenate([[0], np.cumsum(size[chosen[several]])]), ids[chosen[several]], length)
+        several = several[np.argsort(group[several], kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(size[chosen[several]])])
+        cuts = _cuts(ends, batch_bytes, group[several]) if len(several) else [0]
+        for a, b in zip(cuts, cuts[1:]):  # a gram's strings stay together
+            some = several[a:b]
+            text = data[ragged(at[chosen[some]], size[chosen[some]])]
+            least[ragged(own[some], size[chosen[some]])] = smallest_by_window(text, ends[a : b + 1] - ends[a], ids[chosen[some]], length)
         edges = np.cumsum([0, *(x.shape[1] for x in about)])
         body = [_zip(least[ragged(own[number[a:b]], size[a:b] - length + 1)]) for a, b in zip(edges, edges[1:])]
         return pa.table([table["block"].cast(pa.int64()), table["part"].cast(pa.int32()), pa.array(body, pa.binary())], schema=_TOLD)
