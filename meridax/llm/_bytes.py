@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+if sys.platform == "linux":
+    # workers give large arrays back to the system at once: fixed limits for mapping and trimming
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)
+        libc.mallopt(-1, 1 << 22)
+    pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -268,7 +268,7 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.decompress(row["body"]), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(row["ids"], np.int64)
 
 
-def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, block_bytes: int = 1 << 20, range_bytes: int = 2 << 20, hot_documents: int = 2000, batch_bytes: int = 1 << 18, with_kept: bool = True) -> DataFrame:
+def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, block_bytes: int = 1 << 20, range_bytes: int = 1 << 20, hot_documents: int = 2000, batch_bytes: int = 1 << 17, with_kept: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_kept``, the remaining bytes ``kept``.
 
     ``range_bytes``: text per hash range, which bounds what a merging task holds. ``hot_documents``: grams in more
