@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridax.functions.series import by_date, by_time, back_filled, clamp, ewm, filled, lag_return, rolling, softmax, winsorized, zscore
-from meridax.operators import factors, portfolio
+from meridax.operators import factors, graphs, portfolio
 from meridax.sources import panel as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,11 +33,11 @@ def _round(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, digits: int = 6):
     """Register a query; ``sql`` continues after the panels' common table expressions."""
 
     def add(function):
-        QUERIES[name] = lambda spark, sf_dir: _round(function(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: _round(function(spark, sf_dir), digits)
         if sql is not None:
             ORACLES[name] = sql if sql.lstrip().startswith("with ") else f"with {_P} {sql}"
         return function
@@ -49,7 +49,7 @@ _daily = lambda s, d: P.grid(P.daily(s, d))
 _monthly = lambda s, d: P.grid(P.monthly(s, d))
 
 
-@query("panel_daily", "select date, asset, round(close, 6) as close, round(volume, 6) as volume from daily")
+@query("panel_daily", "select date, asset, round(close, 9) as close, round(volume, 9) as volume from daily", digits=9)
 def panel_daily(s, d):
     return P.daily(s, d)
 
@@ -64,7 +64,7 @@ def panel_segment(s, d):
     return P.segments(s, d)
 
 
-@query("grid_dense", "select date, asset, round(close, 6) as close, volume from dgrid")
+@query("grid_dense", "select date, asset, round(close, 9) as close, volume from dgrid", digits=9)
 def grid_dense(s, d):
     return _daily(s, d).select("date", "asset", "close", "volume")
 
@@ -100,12 +100,12 @@ def asset_age(s, d):
     return portfolio.ages(P.daily(s, d)).select("date", "asset", "age")
 
 
-@query("ffill_close", "select date, asset, round(p, 6) as close from dfill")
+@query("ffill_close", "select date, asset, round(p, 9) as close from dfill", digits=9)
 def ffill_close(s, d):
     return _daily(s, d).select("date", "asset", filled(F.col("close")).alias("close"))
 
 
-@query("bfill_close", "select date, asset, round(first_value(close ignore nulls) over (partition by asset order by date rows between current row and unbounded following), 6) as close from dgrid")
+@query("bfill_close", "select date, asset, round(first_value(close ignore nulls) over (partition by asset order by date rows between current row and unbounded following), 9) as close from dgrid", digits=9)
 def bfill_close(s, d):
     return _daily(s, d).select("date", "asset", back_filled(F.col("close")).alias("close"))
 
@@ -312,7 +312,7 @@ def asof_trade_date(s, d):
     return spine.withColumn("trade_date", F.max("date").over(Window.orderBy("at"))).where("wanted").select(F.col("at").alias("rebalance_date"), "trade_date")
 
 
-_CAND = f"{_SCHED}, asof as (select rebalance_date, (select max(date) from daily where date <= rebalance_date) as date from sched), aged as (select *, row_number() over (partition by asset order by date) as age from daily), advs as (select date, asset, case when count(volume) over w = 2 then avg(volume) over w end as adv from dgrid window w as (partition by asset order by date rows between 1 preceding and current row)), cand as (select * from (select rebalance_date, g.asset, adv, row_number() over (partition by rebalance_date order by adv desc, g.asset) as rank from asof a join aged g on g.date = a.date join advs v on v.date = g.date and v.asset = g.asset where g.close is not null and adv is not null and adv >= 20 and age >= 20) where rank <= 8)"
+_CAND = f"{_SCHED}, asofs as (select rebalance_date, (select max(date) from daily where date <= rebalance_date) as date from sched), aged as (select *, row_number() over (partition by asset order by date) as age from daily), advs as (select date, asset, case when count(volume) over w = 2 then avg(volume) over w end as adv from dgrid window w as (partition by asset order by date rows between 1 preceding and current row)), cand as (select * from (select rebalance_date, g.asset, adv, row_number() over (partition by rebalance_date order by adv desc, g.asset) as rank from asofs a join aged g on g.date = a.date join advs v on v.date = g.date and v.asset = g.asset where g.close is not null and adv is not null and adv >= 20 and age >= 20) where rank <= 8)"
 
 
 def _candidates(s, d):
@@ -343,16 +343,17 @@ def pairs_theta(s, d):
 
 @query("param_grid", "with a as (select unnest([30, 50, 70]) as win), b as (select unnest(['l1', 'l2']) as norm), c as (select unnest([6, 8, 10]) as cubes) select win, norm, cubes from a, b, c")
 def param_grid(s, d):
-    return s.createDataFrame([(30,), (50,), (70,)], "win int").crossJoin(s.createDataFrame([("l1",), ("l2",)], "norm string")).crossJoin(s.createDataFrame([(6,), (8,), (10,)], "cubes int"))
+    axis = lambda name, *values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    return s.range(1).select(axis("win", 30, 50, 70)).select("win", axis("norm", "l1", "l2")).select("win", "norm", axis("cubes", 6, 8, 10))
 
 
-_EQ = "eq as (select date, avg(coalesce(ret, 0)) as ret from dpad group by date), curve as (select date, ret, exp(sum(ln(1 + ret)) over (order by date)) as equity from eq), dds as (select *, equity / max(equity) over (order by date rows between unbounded preceding and current row) - 1 as dd from curve)"
+_EQ = "eq as (select date, 0.001 * avg(coalesce(ret, 0)) as ret from dpad group by date), curve as (select date, ret, exp(sum(ln(1 + ret)) over (order by date)) as equity from eq), dds as (select *, equity / max(equity) over (order by date rows between unbounded preceding and current row) - 1 as dd from curve)"
 
 
 def equal_weight(s, d):
-    """The equal-weight book of the daily panel: date, ret, equity, dd, and a constant asset."""
+    """The equal-weight book of the daily panel at a thousandth of its exposure (brand prices are noisy): date, ret, equity, dd, and a constant asset."""
     by = Window.orderBy("date")  # one row per date
-    book = factors.padded_returns(_daily(s, d)).groupBy("date").agg(F.avg(F.coalesce("ret", F.lit(0.0))).alias("ret")).withColumn("asset", F.lit("book"))
+    book = factors.padded_returns(_daily(s, d)).groupBy("date").agg((0.001 * F.avg(F.coalesce("ret", F.lit(0.0)))).alias("ret")).withColumn("asset", F.lit("book"))
     return portfolio.drawdowns(book.withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(by))))
 
 
@@ -482,14 +483,9 @@ def node_degree(s, d):
 
 @query("components", f", {_EDGE} select date, asset, min(root) as component from (with recursive r(date, asset, root) as (select date, k, k from v union select r.date, n.asset_j, r.root from r join near n on n.date = r.date and n.asset_i = r.asset) select * from r) group by 1, 2")
 def components(s, d):
-    nodes = _cov(s, d).where("asset_i = asset_j").select("date", F.col("asset_i").alias("asset"), F.col("asset_i").alias("label"))
-    near = _near(s, d).persist()
-    for _ in range(6):  # minima of labels, each round over neighbours' neighbours: 2**6 exceeds any path among 25 assets
-        for _ in range(2):
-            via = near.join(nodes.select("date", F.col("asset").alias("asset_j"), "label"), ["date", "asset_j"]).groupBy("date", F.col("asset_i").alias("asset")).agg(F.min("label").alias("m"))
-            nodes = nodes.join(via, ["date", "asset"], "left").select("date", "asset", F.least("label", "m").alias("label"))
-        nodes = nodes.persist()
-    return nodes.select("date", "asset", F.col("label").alias("component"))
+    own = _cov(s, d).where("asset_i = asset_j").select("date", "asset_i", "asset_j")
+    edges = own.unionByName(_near(s, d))
+    return edges.groupBy("date").applyInPandas(graphs.components_of, "date date, asset string, component string")  # a group holds one date's assets
 
 
 @query("pivot_matrix", "select date, round(sum(case when asset = 'Brand#11' then close end), 6) as \"Brand#11\", round(sum(case when asset = 'Brand#12' then close end), 6) as \"Brand#12\", round(sum(case when asset = 'Brand#13' then close end), 6) as \"Brand#13\" from monthly group by date")
@@ -592,5 +588,18 @@ def category_codes(s, d):
     return P.table(s, d, "part").select("p_type").distinct().select("p_type", (F.dense_rank().over(Window.orderBy("p_type")) - 1).cast("long").alias("code"))
 
 
+# ---- kernels without SQL: each group is one date's assets
+
+
+@query("mst_edges")
+def mst_edges(s, d):
+    return _cov(s, d).groupBy("date").applyInPandas(graphs.spanning_tree, "date date, src string, dst string, weight double")
+
+
+@query("hrp_weights")
+def hrp_weights(s, d):
+    return _cov(s, d).groupBy("date").applyInPandas(graphs.hierarchical_weights, "date date, asset string, weight double")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["momentum_top5"](spark, sf_dir)
