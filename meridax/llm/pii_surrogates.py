@@ -25,15 +25,15 @@ _TITLES = "|".join(sorted(TITLES_M + TITLES_F, key=len, reverse=True))
 _OCTET = "(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)"
 #: In order: the first kind whose pattern fits the whole match names it.
 KINDS = {
-    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
-    "name": f"(?<![\\p{{L}}])(?:{_TITLES})\\.? \\p{{Lu}}\\p{{Ll}}+(?: \\p{{Lu}}\\p{{Ll}}+)?",
+    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
+    "name": f"(?<![\\p{{L}}])(?=[DFHMS])(?:{_TITLES})\\.? \\p{{Lu}}\\p{{Ll}}+(?: \\p{{Lu}}\\p{{Ll}}+)?",
     "phone": "\\+\\d{1,3}[ .-]?\\(?\\d{2,4}\\)?(?:[ .-]?\\d{2,4}){2,4}(?!\\d)|(?<!\\d)\\(\\d{3}\\) ?\\d{3}[ .-]\\d{4}(?!\\d)|(?<![\\d.-])\\d{3}[.-]\\d{3}[.-]\\d{4}(?![\\d-])",
     "ip": f"(?<![\\d.])(?:{_OCTET}\\.){{3}}{_OCTET}(?!\\d|\\.\\d)",
     "national": "(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])",
     "bank": "(?<![A-Za-z0-9])[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "card": "(?<![\\dA-Za-z])\\d(?:[ -]?\\d){12,18}(?![\\dA-Za-z])",
     "secret": "(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
-    "|(?<=(?:token|secret|password|api_key|apikey) ?[=:] ?[\"'])[A-Za-z0-9_+/=-]{8,128}(?=[\"'])",
+    "|(?<=[\"'])(?<=(?:token|secret|password|api_key|apikey) ?[=:] ?[\"'])[A-Za-z0-9_+/=-]{8,128}(?=[\"'])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from meridax.llm._scratch import staged
 
 
 def word_count(text: Column) -> Column:
@@ -39,13 +39,18 @@ def source_targets(sizes: DataFrame, *, cycle: int = 3, max_epochs: int = 3) ->
     return out.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mixed(docs: DataFrame, *, cycle: int = 3, max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """``docs`` with size, source_size, target and times (whole repetitions plus 0 or 1), the number of copies the mix takes."""
+def mixed(docs: DataFrame, *, cycle: int = 3, max_epochs: int = 3, seed: int = 17, broadcast_sources: int = 10_000) -> DataFrame:
+    """``docs`` with size, source_size, target and times (whole repetitions plus 0 or 1), the number of copies the mix takes.
+
+    ``broadcast_sources``: the plan, a row for each source, is broadcast up to so many; a larger one is joined.
+    """
     own = list(docs.columns)
     spot = F.xxhash64(F.lit(seed), "doc_id", "text")
     bucket = F.shiftrightunsigned(spot, 52).cast("int")
     sized = docs.withColumn("mix_size", word_count(F.col("text"))).withColumn("mix_spot", spot).withColumn("mix_bucket", bucket)
-    by_bucket = sized.groupBy("source", "mix_bucket").agg(F.sum("mix_size").alias("words"))
+    by_bucket = staged(docs.sparkSession, sized.groupBy("source", "mix_bucket").agg(F.sum("mix_size").alias("words")), "mix-buckets")
+    few = by_bucket.select("source").distinct().count() <= broadcast_sources
+    sent = F.broadcast if few else (lambda frame: frame)
     targets = source_targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), cycle=cycle, max_epochs=max_epochs)
     targets = targets.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int"))
     targets = targets.withColumn("part", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
@@ -59,7 +64,7 @@ def mixed(docs: DataFrame, *, cycle: int = 3, max_epochs: int = 3, seed: int = 1
         # the first bucket that doesn't fit, and what is left for it
         .agg(F.min(F.when(F.col("below") + F.col("words") > F.col("part"), F.struct("mix_bucket", (F.col("part") - F.col("below")).alias("left")))).alias("edge"))
     )
-    crossing = sized.alias("d").join(edges.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.mix_bucket") == F.col("e.edge.mix_bucket")))
+    crossing = sized.alias("d").join(sent(edges).alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.mix_bucket") == F.col("e.edge.mix_bucket")))
     drawn = (
         crossing.select("d.source", "d.mix_spot", "d.mix_size", "e.edge.left")
         .groupBy("source", "mix_spot", "left")
@@ -70,7 +75,7 @@ def mixed(docs: DataFrame, *, cycle: int = 3, max_epochs: int = 3, seed: int = 1
         .agg(F.max("mix_spot").alias("last"))
     )
     plan = edges.alias("e").join(drawn.alias("l"), F.col("e.source").eqNullSafe(F.col("l.source")), "left").select("e.*", F.col("l.last"))
-    joined = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    joined = sized.alias("d").join(sent(plan).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     place, edge = F.col("d.mix_bucket"), F.col("p.edge.mix_bucket")
     more = F.when(edge.isNull() | (place < edge) | ((place == edge) & (F.col("d.mix_spot") <= F.col("p.last"))), 1).otherwise(0)
     more = F.when(F.col("p.part") > 0, more).otherwise(0)
