@@ -31,7 +31,7 @@ KINDS = {
     "ip": f"(?<![\\d.])(?:{_OCTET}\\.){{3}}{_OCTET}(?!\\d|\\.\\d)",
     "national": "(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])",
     "bank": "(?<![A-Za-z0-9])[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
-    "card": "(?<![\\dA-Za-z])\\d(?:[ -]?\\d){12,18}(?![\\dA-Za-z])",
+    "card": "(?<![\\dA-Za-z])(?:\\d{13,19}|\\d{4}[ -]\\d{6}[ -]\\d{5}|\\d{4}(?:[ -]\\d{4}){2}[ -]\\d{1,7})(?![\\dA-Za-z])",
     "secret": "(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
     "|(?<=[\"'])(?<=(?:token|secret|password|api_key|apikey) ?[=:] ?[\"'])[A-Za-z0-9_+/=-]{8,128}(?=[\"'])",
 }
