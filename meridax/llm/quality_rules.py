@@ -122,7 +122,10 @@ def quality_filter(docs: DataFrame, rules=RULES) -> DataFrame:
     """The kept rows of ``docs``, with its columns."""
     own = [f"c{i}" for i in range(len(docs.columns))]  # so that extra columns can't clash with measures
     named = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)])
-    return judged(named.withColumn("text", F.col(own[docs.columns.index("text")])), rules).where("kept").select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own)])
+    seen = judged(named.withColumn("text", F.col(own[docs.columns.index("text")])), rules)
+    # the row number keeps the optimizer from moving the filter below the projection, where it would spell out all measures anew for each use
+    seen = seen.select(*own, "kept", F.monotonically_increasing_id().alias("row")).where("kept and row >= 0")
+    return seen.select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own)])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
