@@ -22,7 +22,7 @@ STOP_WORDS = (
     "el los las del y se por su con para al lo no una es como más o si"
 ).split()
 
-_STOP_FORMS = sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())})
+STOP_FORMS = sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())})
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def measured(docs: DataFrame, *, window: int = 8) -> DataFrame:
         F.try_divide("word_chars", n).alias("mean_word_chars"),
         F.try_divide("n_symbols", n).alias("symbols_per_word"),
         F.try_divide("n_marks", n).alias("marks_per_word"),
-        F.try_divide(F.size(F.filter("words", lambda w: w.isin(_STOP_FORMS))), n).alias("stop_word_share"),
+        F.try_divide(F.size(F.filter("words", lambda w: w.isin(STOP_FORMS))), n).alias("stop_word_share"),
         F.try_divide(F.size("lines") - F.size(F.array_distinct("lines")), F.size("lines")).alias("dup_line_share"),
     ).withColumn("repeat_word_share", F.try_divide("n_repeat_words", "n_words"))
 
