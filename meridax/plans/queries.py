@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridax.functions.series import by_date, by_time, back_filled, clamp, ewm, filled, lag_return, rolling, softmax, winsorized, zscore
-from meridax.operators import factors, graphs, portfolio
+from meridax.operators import factors, graphs, portfolio, resampling
 from meridax.sources import panel as P
+from meridax.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -587,7 +588,34 @@ def category_codes(s, d):
     return P.table(s, d, "part").select("p_type").distinct().select("p_type", (F.dense_rank().over(Window.orderBy("p_type")) - 1).cast("long").alias("code"))
 
 
-# ---- kernels without SQL: each group is one date's assets
+@query(
+    "psr_zscore",
+    f""", {_EQ}, a as (select count(*) as n, avg(ret) as m, stddev_pop(ret) as d from curve),
+b as (select n, m / d * sqrt(252.0) as sr, avg(power((ret - m) / d, 3)) as sk, avg(power((ret - m) / d, 4)) as ku from curve cross join a group by n, m, d)
+select n, round(sr, 4) as sharpe, round(sr * sqrt(n - 1.0) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr), 4) as z from b""",
+)
+def psr_zscore(s, d):
+    m = equal_weight(s, d).agg(F.count("*").alias("n"), (F.avg("ret") / F.stddev_pop("ret") * F.sqrt(F.lit(252.0))).alias("sr"), F.skewness("ret").alias("sk"), (F.kurtosis("ret") + 3).alias("ku"))
+    z = F.col("sr") * F.sqrt(F.col("n") - 1.0) / F.sqrt(1 - F.col("sk") * F.col("sr") + (F.col("ku") - 1) / 4 * F.col("sr") * F.col("sr"))
+    return m.select("n", F.round("sr", 4).alias("sharpe"), F.round(z, 4).alias("z"))
+
+
+@query("stream_daily_events", "select cast(ts as date) as date, event_type, count(*) as n, round(cast(sum(cast(value as decimal(18,6))) as double), 6) as total from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 1 hour group by 1, 2")
+def stream_daily_events(s, d):
+    return windows.drained(s, f"{d}/events.parquet", windows.daily_counts)
+
+
+# ---- kernels without SQL: resamples of one series, or one date's assets
+
+
+@query("perm_pvalue")
+def perm_pvalue(s, d):
+    return resampling.permutation_pvalues(equal_weight(s, d).select("asset", "date", "ret"), trials=9)
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(s, d):
+    return resampling.bootstrap_intervals(equal_weight(s, d).select("asset", "date", "ret"))
 
 
 @query("mst_edges")
