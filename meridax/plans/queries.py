@@ -55,7 +55,7 @@ def panel_daily(s, d):
     return P.daily(s, d)
 
 
-@query("panel_monthly", "select date, asset, round(close, 6) as close, round(volume, 6) as volume from monthly")
+@query("panel_monthly", "select date, asset, round(close, 9) as close, round(volume, 9) as volume from monthly", digits=9)
 def panel_monthly(s, d):
     return P.monthly(s, d)
 
