@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridax.llm._bytes import U64, longs, mix, portions, utf8, word_hashes
@@ -120,14 +120,24 @@ def tile_links(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, num:
     return links
 
 
-_DOC = "doc_id long, n_shingles long, node long"
+_DOC = "doc_id long, text_key long, n_shingles long, node long"
 _SENT = pa.schema([("part", pa.int32()), ("body", pa.binary()), ("more", pa.binary())])
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _TILE = pa.schema([("grp", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64()), ("node", pa.int64()), ("side", pa.int64()), ("grams", pa.binary())])
 
 
-def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, portion_bytes: int = 2 << 20, tile_ngrams: int = 1 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+def ngram_classes(spark: SparkSession, docs: DataFrame, **limits: int) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id reachable by links of Jaccard similarity num / den or more."""
+    return classed_texts(spark, docs, **limits).select("doc_id", "n_shingles", "component_id")
+
+
+def text_key(text: Column) -> Column:
+    """Names a text among the rows of one doc_id."""
+    return F.xxhash64(text.cast("string"))
+
+
+def classed_texts(spark: SparkSession, docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, portion_bytes: int = 2 << 20, tile_ngrams: int = 1 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+    """``ngram_classes`` with the row's text_key and its class, which doesn't depend on ids; the class of texts without n-grams is null."""
     bands = Bands(num, den)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -137,9 +147,9 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, num:
 
     def describe(batches):
         for batch, sets in sets_of(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_key(x) for x in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array([_key(x) for x in sets], pa.int64())], ["doc_id", "text_key", "n_shingles", "node"])
 
-    about = staged(spark, texts.mapInArrow(describe, _DOC), "ngram-docs")
+    about = staged(spark, texts.withColumn("text_key", text_key(F.col("text"))).mapInArrow(describe, _DOC), "ngram-docs")
     total = about.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(16, min(1 << 30, int(total * 24 * (den - num) / den) // range_bytes))
 
@@ -221,8 +231,9 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, num:
     tiles = dealt.mapInArrow(deal, "grp long, ta long, tb long, node long, side long, grams binary")
     linked = components(spark, tiles.groupBy("grp", "ta", "tb").applyInArrow(link, "u long, v long"))
     classes = nodes.join(linked, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    named = classes.join(classes.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("node", F.nullif("least", F.lit(NO_ID)).alias("least"))
-    return about.join(named, "node").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = classes.join(classes.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("node", "component", F.nullif("least", F.lit(NO_ID)).alias("least"))
+    linking = F.col("n_shingles") > 0
+    return about.join(named, "node").select("doc_id", "text_key", "n_shingles", F.when(linking, F.col("component")).alias("class"), F.when(linking, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
