@@ -575,6 +575,16 @@ def risk_free_aligned(s, d):
     return j.select("date", F.round(F.coalesce(filled(F.col("v"), by), back_filled(F.col("v"), by), F.lit(0.0)), 4).alias("rate"))
 
 
+@query("risk_free_all_days", "with e as (select cast(ts as date) as date, avg(value) as v from events where event_type = 'purchase' group by 1), c as (select unnest(generate_series((select min(date) from e), (select max(date) from e), interval 1 day))::date as date), j as (select c.date, v from c left join e on e.date = c.date where isodow(c.date) <= 5) select date, round(coalesce(last_value(v ignore nulls) over (order by date rows between unbounded preceding and current row), first_value(v ignore nulls) over (order by date rows between current row and unbounded following), 0), 4) as rate from j")
+def risk_free_all_days(s, d):
+    """All observed rates on the business days between the first and the last of them. As in a reindex, a weekend's rate fills no later day."""
+    e = P.table(s, d, "events").where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("v"))
+    days = e.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date")).where(F.dayofweek("date").between(2, 6))
+    by = Window.orderBy("date")
+    j = days.join(e, "date", "left")
+    return j.select("date", F.round(F.coalesce(filled(F.col("v"), by), back_filled(F.col("v"), by), F.lit(0.0)), 4).alias("rate"))
+
+
 @query("benchmark_rebased", "with p as (select cast(o_orderdate as date) as date, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as v from orders group by 1) select date, round(v / first_value(v) over (order by date), 6) as rebased from p")
 def benchmark_rebased(s, d):
     p = P.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v"))
