@@ -496,6 +496,16 @@ def pivot_matrix(s, d):
     return P.monthly(s, d).groupBy("date").pivot("asset", ["Brand#11", "Brand#12", "Brand#13"]).agg(F.sum("close"))
 
 
+_BRANDS = [f"Brand#{i}" for i in range(1, 26)]  # all of the generated part table
+
+
+@query("pivot_all_assets", "select date, " + ", ".join(f"round(sum(case when asset = '{b}' then close end), 9) as \"{b}\"" for b in _BRANDS) + " from monthly group by date", digits=9)  # at six, one value of sf0.001 is a tie
+def pivot_all_assets(s, d):
+    """A column for each brand of the part table."""
+    brands = [r[0] for r in P.table(s, d, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
+    return P.monthly(s, d).groupBy("date").pivot("asset", brands).agg(F.sum("close"))
+
+
 @query("unpivot_features", "select date, asset, 'close' as feature, round(close, 6) as value from monthly union all select date, asset, 'volume', round(volume, 6) from monthly")
 def unpivot_features(s, d):
     return P.monthly(s, d).unpivot(["date", "asset"], ["close", "volume"], "feature", "value")
