@@ -94,20 +94,27 @@ class Tree:
     """The levels of a replica's tree: within files by groups of ``FANOUT``, then over files by their hashed names in the same way."""
 
     def __init__(self, spark: SparkSession, archive: DataFrame):
-        self.leaves = staged(spark, leaves(archive), "merkle-leaves")
+        self.spark, self.leaves = spark, staged(spark, leaves(archive), "merkle-leaves")
+        files, most = self.leaves.agg(F.count_distinct("file"), F.coalesce(F.max("node"), F.lit(0))).first()
+        depth = digits = 0
+        while most > 0:
+            depth, most = depth + 1, most // FANOUT
+        while FANOUT**digits < files:
+            digits += 1
+        self.build(depth, digits)
+
+    def build(self, depth: int, digits: int) -> None:
+        """So many levels above the records of a file, and so many over files; two trees compare only at the same ones."""
+        self.depth, self.digits = depth, digits
         level = self.leaves.select("file", "node", "hash")
         self.inside = [level]
-        most = self.leaves.agg(F.max("node")).first()[0] or 0
-        while most > 0:
-            level, most = self._up(level, [F.col("file")]), most // FANOUT
+        for _ in range(depth):
+            level = self._up(level, [F.col("file")])
             self.inside.append(level)
         roots = level.groupBy("file").agg(F.first("hash").alias("hash"))
-        self.files = staged(spark, roots, "merkle-files")
+        self.files = staged(self.spark, roots, "merkle-files")
         # over files: groups by prefixes of the hashed name, so that replicas with other files still align
         self.over = []
-        n, digits = self.files.count(), 0
-        while FANOUT**digits < n:
-            digits += 1
         for d in range(digits, -1, -1):
             group = F.substring(F.md5("file"), 1, d)
             self.over.append(self.files.groupBy(group.alias("group")).agg(F.sha2(F.concat(F.lit("\x01"), F.concat_ws("", F.sort_array(F.collect_list(F.concat("file", "hash"))))), 256).alias("hash")) if d == digits else self._over(self.over[-1], d))
@@ -134,9 +141,13 @@ def _differing(a: DataFrame, b: DataFrame, keys: list[str], below: DataFrame | N
 
 def audit(primary: Tree, replica: Tree) -> DataFrame:
     """(file, node) of the records that differ: roots first, then only the children of nodes that differ."""
+    depth, digits = max(primary.depth, replica.depth), max(primary.digits, replica.digits)
+    for t in (primary, replica):
+        if (t.depth, t.digits) != (depth, digits):
+            t.build(depth, digits)
     at = None
-    for k in range(max(len(primary.over), len(replica.over)) - 1, -1, -1):
-        a, b = (t.over[min(k, len(t.over) - 1)] for t in (primary, replica))
+    for k in range(len(primary.over) - 1, -1, -1):
+        a, b = (t.over[k] for t in (primary, replica))
         digits = len(primary.over) - 1 - k
         at = _differing(a, b, ["group"], at, [(f"substring(`group`, 1, {max(0, digits - 1)})", "group")])
     digits = len(primary.over) - 1
