@@ -1,4 +1,4 @@
-"""Dense kernels on one date's assets: components, minimum spanning tree, hierarchical weights, tilt, persistence of components."""
+"""Dense kernels on one date's assets: components, minimum spanning tree, hierarchical weights, tilt."""
 
 from __future__ import annotations
 

@@ -70,7 +70,7 @@ def shrunk(cov: DataFrame, kind: str = "diagonal", strength: float = 0.1) -> Dat
         scale = F.sqrt(F.col("vi") * F.col("vj"))
         target = F.when(diagonal, F.col("cov")).otherwise(F.avg(F.when(~diagonal, F.try_divide(F.col("cov"), scale))).over(by_date()) * scale)
     else:
-        return cov
+        raise ValueError(f"unknown shrinkage: {kind}")
     return cov.select("date", "asset_i", "asset_j", ((1 - s) * F.col("cov") + s * target).alias("cov"))
 
 
