@@ -48,7 +48,10 @@ def best_pattern(weight: np.ndarray, units: int) -> tuple[float, Counter]:
 
 
 def configuration_program(demand: np.ndarray, *, step: float = 0.1, rounds: int = 3000) -> dict[tuple, float]:
-    """Patterns and how often each is used, so that each class (1 to len - 1) is covered: multiplicative weights."""
+    """Patterns and how often each is used: multiplicative weights, until each class (1 to len - 1) is covered 12 times or after ``rounds``.
+
+    With many classes the rounds may end while some have no coverage; their pieces are left to best fit.
+    """
     units = len(demand) - 1
     needed = np.flatnonzero(demand)
     used: dict[tuple, float] = {}
