@@ -3,7 +3,8 @@
 The file format: a shard holds documents in ascending doc_id order. After the magic and a header come two monotone
 sequences in Elias-Fano form, doc_ids and ends (ids up to and with each document), then all ids. A sequence of n values
 below u keeps floor(log2(u / n)) low bits of each value packed, and the rest in unary in a bit vector; every 256th one bit
-is sampled, so that ``select`` reads a few bytes. That takes about 2 + log2(u / n) bits a value.
+is sampled, so that ``select`` reads a few bytes. Readers find every offset and doc_id by ``select``; no table of offsets is
+made. That takes about 2 + log2(u / n) bits a value.
 
 Shards are rows of a Parquet table (``part``, ``seq``, ``image``), which Spark writes and commits to any store.
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from meridax.llm._scratch import staged
 from meridax.llm.tokenizing import tokenizer_path, word_cache
 
-MAGIC, SAMPLE = b"EFIDS\x00\x01\x00", 256
+MAGIC, SAMPLE = b"EFIDS\x00\x02\x00", 256
+_NTH = [[k for k in range(8) if byte << k & 0x80] for byte in range(256)]  # places of a byte's ones, the highest bit first
+_ONES = np.array([len(x) for x in _NTH])
 
 
 class EliasFano:
@@ -45,7 +48,7 @@ class EliasFano:
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
-        return cls(n, low_bits, np.packbits(bits.astype(np.uint8).ravel()), np.packbits(high), ones[::SAMPLE].astype("<u4"))
+        return cls(n, low_bits, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"), np.packbits(high), ones[::SAMPLE].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
@@ -59,27 +62,23 @@ class EliasFano:
         return cls(n, low_bits, *parts), at + low + high + 4 * samples
 
     def select(self, i: int) -> int:
-        """Value i, from the sample before it."""
+        """Value i, from the sample before it: whole bytes are counted at once, then the bits of one."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         place, missing = int(self.samples[i // SAMPLE]), i % SAMPLE
-        at = place // 8
-        seen = -int(np.unpackbits(self.high[at : at + 1])[: place % 8].sum())
+        at = place >> 3
+        missing += int(_ONES[self.high[at].item() & ~(0xFF >> (place & 7)) & 0xFF])  # ones of this byte before the sample
         while True:
-            bits = np.unpackbits(self.high[at : at + 64])
-            count = int(bits.sum())
-            if seen + count > missing:
-                one = at * 8 + int(np.flatnonzero(bits)[missing - seen])
+            counts = _ONES[self.high[at : at + 64]].cumsum()
+            if counts[-1] > missing:
                 break
-            seen, at = seen + count, at + 64
-        a = i * self.low_bits
-        bits = np.unpackbits(self.low[a // 8 : (a + self.low_bits + 7) // 8])[a % 8 : a % 8 + self.low_bits]
-        return ((one - i) << self.low_bits) + sum(int(b) << k for k, b in enumerate(bits))
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return (ones.astype(np.int64) << self.low_bits) + (bits << np.arange(self.low_bits)).sum(1)
+            missing, at = missing - int(counts[-1]), at + 64
+        k = int(counts.searchsorted(missing, "right"))
+        byte, missing = self.high[at + k].item(), missing - (int(counts[k - 1]) if k else 0)
+        one = 8 * (at + k) + _NTH[byte][missing]
+        a, b = i * self.low_bits, (i + 1) * self.low_bits
+        wide = int.from_bytes(self.low[a >> 3 : (b + 7) >> 3].tobytes(), "little")
+        return ((one - i) << self.low_bits) | (wide >> (a & 7) & ((1 << self.low_bits) - 1))
 
 
 def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -105,12 +104,27 @@ class Shard:
         self.ends, at = EliasFano.read(raw, at)
         self.tokens = np.frombuffer(raw, f"<u{width}", -1, at)
 
-    def doc_ids(self) -> list[int | None]:
-        return [int(x) + self.base for x in self.docs.all()] + [None] * self.nulls
+    def __len__(self) -> int:
+        return self.ends.n
+
+    def doc_id(self, i: int) -> int | None:
+        return self.docs.select(i) + self.base if i < self.docs.n else None
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the ids of document i begin and end in the shard, by two selects."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
     def ids(self, i: int) -> np.ndarray:
-        """The ids of document i of the shard, found by two selects."""
-        return self.tokens[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        a, b = self.span(i)
+        return self.tokens[a:b]
+
+    def find(self, doc_id: int) -> int | None:
+        """The first document with this id, by selects in a binary search."""
+        low, high = 0, self.docs.n
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if self.docs.select(mid) + self.base < doc_id else (low, mid)
+        return low if low < self.docs.n and self.docs.select(low) + self.base == doc_id else None
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: int = 0, shard_tokens: int = 1 << 20) -> DataFrame:
@@ -146,12 +160,16 @@ def read_tokens(shards: DataFrame, *, with_ids: bool = True) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, seq, image in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                shard = Shard(image)
-                ends = shard.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                bodies = [shard.tokens[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends)]
-                columns = [pa.array([part] * len(ends), pa.int32()), pa.array([seq] * len(ends), pa.int32()), pa.array(shard.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array([zlib.crc32(x) for x in bodies], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(bodies if with_ids else [None] * len(ends), pa.binary())], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32", "ids"])
+                shard, at = Shard(image), 0
+                for a in range(0, len(shard), 4096):
+                    out = []
+                    for i in range(a, min(a + 4096, len(shard))):
+                        end = shard.ends.select(i)
+                        body = shard.tokens[at:end].astype("<u4").tobytes()
+                        out.append((part, seq, shard.doc_id(i), at, end - at, zlib.crc32(body), body if with_ids else None))
+                        at = end
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32", "ids"])
 
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
