@@ -1,15 +1,17 @@
 """Operator 9: exact n-gram Jaccard join in size-banded tiles with hashed bitmap signatures.
 
-1. Each text gives the set of hashes of its word n-grams. Equal sets collapse to one node.
-2. Sizes form bands that grow by 1 / similarity, so that linked sets lie in one band or in neighbouring ones. In a band,
-   linked sets differ in at most H n-grams. The hash space is cut into H + 1 parts, so that linked sets agree on a whole
-   part. Sets that agree on a part are chained (never paired), and the chains' components are the candidate groups.
-3. A group within ``tile_ngrams`` is one tile. A larger one is cut by size band and, by hash, into chunks; a tile is a
-   chunk, or two chunks of one band or of neighbouring bands, so that each pair that can link meets in a tile.
-4. In a tile, bitmaps hold for each of 1,024 hash values whether an odd number of n-grams has it. The bits in which two
-   bitmaps differ are at most the n-grams in which the sets differ, which bounds the overlap from above. Only pairs
-   within the bound whose ends are not yet connected are intersected, as sorted arrays.
-5. Components of the links give each document its class.
+1. Each text gives the set of hashes of its word n-grams. Equal sets collapse to one node. Each node gets a bitmap that
+   holds for each hash value whether an odd number of its n-grams has it. All sets feed one table of counts by hash,
+   fixed in size, which tells common n-grams from rare ones.
+2. A set of n n-grams sends its n - ceil(t n) + 1 rarest ones, in one order for all sets, so that two linked sets share
+   one of those. N-grams that one node alone has sent end there.
+3. Sizes form bands that grow by 1 / t. A tile holds the nodes that sent one n-gram and lie in two neighbouring bands, so
+   each pair that can link meets in a tile. In a tile, the bits in which two bitmaps differ are at most the n-grams in
+   which the sets differ, which bounds the overlap from above. Pairs within the bound are intersected as sorted arrays.
+4. First, in the tiles of each set's few rarest n-grams, a node is paired with the smallest one before it within the bound only. The links
+   among these pairs connect most of what links at all; a large group of near copies costs a pair or two a node.
+5. Then the tiles whose nodes aren't all connected yet give all pairs within the bound whose ends are not connected. In
+   a tile those outside its largest connected part meet all others, in chunks if there are many. Links of both steps give the classes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Fewer words than n count as one n-gram. Null or empty text, or
 text without words, has no n-grams and links with nothing. Equal ids and rows each keep their row. A null doc_id is larger
@@ -19,18 +21,23 @@ than all ids. Extra columns are ignored. An empty table gives an empty result. N
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridax.llm._bytes import U64, longs, mix, portions, utf8, word_hashes
-from meridax.llm._scratch import staged
+from meridax.llm._scratch import discard, staged
 from meridax.llm.components import components
 
 NO_ID = np.iinfo(np.int64).max
-BITS = 1024
+SKETCH, SLICE = 21, 1 << 16  # counts by hash: 2**21 of them, sent in slices
+EARLY = 4  # so many of a set's rarest n-grams make the first pairs
+FEW = 64  # tiles up to this size are compared all at once
+LEAST_BITS, MOST_BITS = 1 << 7, 1 << 15
 
 
 def ngram_sets(data: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
@@ -59,71 +66,164 @@ def _key(grams: np.ndarray) -> int:
     return int(mix(np.array([spread.sum() + U64(len(grams))], U64)).view(np.int64)[0])
 
 
-class Bands:
-    """Size bands for the similarity num / den, and how many parts each needs."""
-
-    def __init__(self, num: int, den: int, most: int = 1 << 40):
-        edges = [1]
-        while edges[-1] < most:
-            edges.append(max(edges[-1] + 1, -(-edges[-1] * den // num)))
-        self.edges = np.array(edges)
-        self.parts = 2 * (self.edges[1:] - 1) * (den - num) // (den + num) + 1
-
-    def of(self, size):
-        return np.searchsorted(self.edges, size, "right") - 1
-
-    def signatures(self, grams: np.ndarray) -> np.ndarray:
-        """A hash for each part of the set, in its own band and in the next, where it can meet larger sets."""
-        out = []
-        band = int(self.of(len(grams)))
-        spread = np.concatenate([[U64(0)], np.cumsum(mix(grams ^ U64(0x9FB21C651E98DF25)))])
-        for tile in (band, band + 1):
-            parts = int(self.parts[tile])
-            if parts > 1:  # else only equal sets could link, and those are one node
-                cuts = np.searchsorted(grams, (np.arange(1, parts, dtype=U64) * U64((1 << 64) // parts)))
-                cuts = np.concatenate([[0], cuts, [len(grams)]])
-                label = (np.arange(parts, dtype=U64) << U64(20)) + U64(tile)
-                out.append(mix((spread[cuts[1:]] - spread[cuts[:-1]]) ^ mix(label)))
-        return np.concatenate(out) if out else np.zeros(0, U64)
-
-
-def tile_links(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A forest that connects what the links in a tile connect. Pairs with both ends on one side are left out if there are two sides."""
-    size = np.array([len(x) for x in sets])
-    order = np.argsort(size, kind="stable")
-    sets, size, keys, side = [sets[i] for i in order], size[order], keys[order], side[order]
-    m, two = len(sets), side.min() != side.max()
-    spots = np.concatenate(sets) & U64(BITS - 1)
-    odd = np.bincount(np.repeat(np.arange(m), size) * BITS + spots.astype(np.int64), minlength=m * BITS) & 1
-    bitmap = np.packbits(odd.astype(np.uint8)).view(U64).reshape(m, BITS // 64)
-    label, links = np.arange(m), []
-    reach = np.searchsorted(size * num, size * den, "right")
-    for i in range(m - 1):
-        others = np.arange(i + 1, reach[i])
-        others = others[label[others] != label[i]]
-        if two:
-            others = others[side[others] != side[i]]
-        if not len(others):
+def band_edges(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
+    """The least size of each band: sets whose sizes have a ratio of num / den or more lie in one band or in neighbouring ones."""
+    edges = [1]
+    while edges[-1] < most:
+        edges.append(max(edges[-1] + 1, -(-edges[-1] * den // num)))
+    return np.array(edges)
+
+
+def bitmap(grams: np.ndarray, share: float) -> bytes:
+    """A bitmap of at least ``share`` times as many bits as n-grams, within limits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, int(share * len(grams))) - 1).bit_length()))
+    odd = np.bincount((grams & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Levels of n-grams by the counts of their hashes, four for each doubling."""
+    return np.minimum(127, np.floor(4 * np.log2(1.0 + counts))).astype(np.uint8)
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return ((grams >> U64(20)) & U64((1 << SKETCH) - 1)).astype(np.int64)
+
+
+def prefixes(sets: list[np.ndarray], levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest n - ceil(t n) + 1 n-grams of each set: the n-grams, the number of their set, and their place from 0."""
+    size = np.array([len(x) for x in sets], np.int64)
+    if not size.sum():
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    rank = (levels[_slot(grams)].astype(U64) << U64(57)) | (grams >> U64(7))
+    order = np.lexsort((rank, of))
+    place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+    keep = place < (size - -(-num * size // den) + 1)[of]
+    return grams[order][keep], of[keep], place[keep]
+
+
+class Tiles:
+    """Rows in order of tile and size, with the bitmaps of each tile folded to its smallest width."""
+
+    def __init__(self, tile: np.ndarray, n: np.ndarray, bitmaps: pa.Array, num: int, den: int):
+        self.n, self.num, self.den = n, num, den
+        self.starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
+        self.sizes = np.diff(np.append(self.starts, len(tile)))
+        self.tile = np.repeat(np.arange(len(self.starts)), self.sizes)
+        raw, at = utf8(bitmaps)
+        own = np.diff(at) // 8
+        least = np.minimum.reduceat(own, self.starts)[self.tile] if len(tile) else own
+        self.width, self.spot = least, np.zeros(len(tile), np.int64)
+        self.words: dict[int, np.ndarray] = {}
+        wide = np.frombuffer(np.ascontiguousarray(raw).tobytes(), U64)
+        for w in np.unique(least).tolist():
+            rows = np.flatnonzero(least == w)
+            self.spot[rows] = np.arange(len(rows))
+            folded = np.empty((len(rows), w), U64)
+            for o in np.unique(own[rows]).tolist():
+                some = np.flatnonzero(own[rows] == o)
+                cells = wide[(at[:-1][rows[some]] // 8)[:, None] + np.arange(o)]
+                folded[some] = np.bitwise_xor.reduce(cells.reshape(len(some), o // w, w), axis=1)
+            self.words[w] = folded
+
+    def within(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs, i before j in one tile, can link by their sizes and bitmaps."""
+        a, b = self.n[i], self.n[j]
+        out = a * self.den >= b * self.num
+        rows = np.flatnonzero(out)
+        both, width = (a + b)[rows], self.width[i[rows]]
+        for w, words in self.words.items():
+            own = np.flatnonzero(width == w)
+            for c in range(0, len(own), 1 << 16):
+                some = own[c : c + (1 << 16)]
+                x, y = self.spot[i[rows[some]]], self.spot[j[rows[some]]]
+                differ = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64)
+                bound = (both[some] - differ) // 2
+                out[rows[some]] = (self.den + self.num) * bound >= self.num * both[some]
+        return out
+
+    def first_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each row with the first one before it in its tile within the bound."""
+        found = [np.zeros((2, 0), np.int64)]
+        small = np.flatnonzero((self.sizes[self.tile] <= FEW) if len(self.tile) else [])
+        first = np.full(len(self.tile), -1)
+        for k in range(int(self.sizes[self.sizes <= FEW].max(initial=1)) - 1, 0, -1):  # the farthest first, so that the nearest to the start stays last
+            i = small[:-k][self.tile[small[:-k]] == self.tile[small[k:]]]
+            i = i[first[i + k] < 0]
+            i = i[self.within(i, i + k)]
+            first[i + k] = i
+        j = np.flatnonzero(first >= 0)
+        found.append(np.stack([first[j], j]))
+        for a, m in zip(self.starts[self.sizes > FEW].tolist(), self.sizes[self.sizes > FEW].tolist()):
+            left = np.arange(a + 1, a + m)
+            for i in range(a, a + m - 1):
+                left = left[left > i] if len(left) and left[0] <= i else left
+                if not len(left):
+                    break
+                hit = self.within(np.full(len(left), i), left)
+                found.append(np.stack([np.full(int(hit.sum()), i), left[hit]]))
+                left = left[~hit]
+        return tuple(np.concatenate(found, 1))
+
+    def all_pairs(self, label: np.ndarray, few: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs within the bound whose labels differ, of rows of which one is marked in ``few``."""
+        small = np.flatnonzero((self.sizes[self.tile] <= FEW) if len(self.tile) else [])
+        for k in range(1, int(self.sizes[self.sizes <= FEW].max(initial=1))):
+            i = small[:-k][self.tile[small[:-k]] == self.tile[small[k:]]]
+            i = i[(label[i] != label[i + k]) & (few[i] | few[i + k])]
+            i = i[self.within(i, i + k)]
+            yield i, i + k
+        for a, m in zip(self.starts[self.sizes > FEW].tolist(), self.sizes[self.sizes > FEW].tolist()):
+            own = np.arange(a, a + m)
+            for r in own[few[own]]:
+                others = own[(label[own] != label[r]) & (~few[own] | (own > r))]
+                i, j = np.minimum(r, others), np.maximum(r, others)
+                hit = self.within(i, j)
+                yield i[hit], j[hit]
+
+
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two ordered sets link, by their exact intersection."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    overlap = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+    return overlap > 0 and den * overlap >= num * (len(a) + len(b) - overlap)
+
+
+_PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _aligned(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, most: int | None) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Batches cut between tiles, with a number for each row's tile. Tiles above ``most`` rows come in parts of that size."""
+
+    def numbered(table):
+        change = np.zeros(table.num_rows, bool)
+        for k in keys:
+            x = table[k].to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        return np.cumsum(change)
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) < rows:
             continue
-        both = size[others] + size[i]
-        differ = np.bitwise_count(bitmap[others] ^ bitmap[i]).sum(1, dtype=np.int64)
-        bound = (both - differ) // 2
-        for j in others[(den + num) * bound >= num * both]:
-            if label[j] == label[i]:
-                continue
-            a, b = sets[i], sets[j]
-            spot = np.searchsorted(b, a)
-            overlap = int((b[np.minimum(spot, len(b) - 1)] == a).sum())
-            if den * overlap >= num * (len(a) + len(b) - overlap):
-                links.append((int(keys[i]), int(keys[j])))
-                label[label == label[j]] = label[i]
-    return links
-
-
-_DOC = "doc_id long, text_key long, n_shingles long, node long"
-_SENT = pa.schema([("part", pa.int32()), ("body", pa.binary()), ("more", pa.binary())])
-_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-_TILE = pa.schema([("grp", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64()), ("node", pa.int64()), ("side", pa.int64()), ("grams", pa.binary())])
+        table = pa.concat_tables(held).combine_chunks()
+        tile = numbered(table)
+        cut = int(np.searchsorted(tile, tile[-1]))
+        if most and table.num_rows - cut >= most:
+            cut = table.num_rows
+        if cut:
+            yield tile[:cut], table.slice(0, cut)
+        held = [table.slice(cut)]
+    if held:
+        table = pa.concat_tables(held).combine_chunks()
+        if table.num_rows:
+            yield numbered(table), table
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
 
 
 def ngram_classes(spark: SparkSession, docs: DataFrame, **limits: int) -> DataFrame:
@@ -136,104 +236,233 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def classed_texts(spark: SparkSession, docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, portion_bytes: int = 2 << 20, tile_ngrams: int = 1 << 20, range_bytes: int = 16 << 20) -> DataFrame:
-    """``ngram_classes`` with the row's text_key and its class, which doesn't depend on ids; the class of texts without n-grams is null."""
-    bands = Bands(num, den)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]):
-        for batch in portions(batches, "text", portion_bytes):
-            yield batch, ngram_sets(*utf8(batch.column(batch.schema.get_field_index("text"))), words)
-
-    def describe(batches):
-        for batch, sets in sets_of(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array([_key(x) for x in sets], pa.int64())], ["doc_id", "text_key", "n_shingles", "node"])
-
-    about = staged(spark, texts.withColumn("text_key", text_key(F.col("text"))).mapInArrow(describe, _DOC), "ngram-docs")
-    total = about.agg(F.sum("n_shingles")).first()[0] or 0
-    ranges = max(16, min(1 << 30, int(total * 24 * (den - num) / den) // range_bytes))
-
-    def send(batches):
-        for _, sets in sets_of(batches):
-            different = {_key(x): x for x in sets if len(x) > 1}
-            signed = [(k, bands.signatures(x)) for k, x in different.items()]
-            sig = np.concatenate([s for _, s in signed]) if signed else np.zeros(0, U64)
-            if not len(sig):
-                continue
-            node = np.repeat(np.array([k for k, _ in signed], np.int64), [len(s) for _, s in signed])
-            order = np.argsort(sig)
-            sig, node = sig[order], node[order]
-            part = ((sig >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
-            begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            edges = np.append(begins, len(sig))
-            short = (sig & U64(0xFFFFFFFFFF)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            yield pa.RecordBatch.from_arrays([pa.array(part[begins], pa.int32()), pa.array([short[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()), pa.array([node[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], schema=_SENT)
-
-    def chain(table: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(table["body"].to_pylist()), np.uint8).reshape(-1, 5)
-        sig = np.zeros((len(raw), 8), np.uint8)
-        sig[:, :5] = raw
-        sig = sig.view("<u8").ravel()
-        node = np.frombuffer(b"".join(table["more"].to_pylist()), np.int64)
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        next_ = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] != node[:-1]))
-        pairs = np.unique(np.stack([node[next_], node[next_ + 1]]), axis=1) if len(next_) else np.zeros((2, 0), np.int64)
-        return pa.table([pa.array(x, pa.int64()) for x in pairs], schema=_EDGE)
-
-    groups = components(spark, texts.mapInArrow(send, "part int, body binary, more binary").groupBy("part").applyInArrow(chain, "u long, v long")).select("node", F.col("component").alias("grp"))
-    nodes = about.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id"), F.first("n_shingles").alias("n"))
-    band = F.lit(0)
-    size = F.col("n")
-    for edge in [int(e) for e in bands.edges if e <= 1 << 31][1:]:
-        band = band + (size >= edge).cast("int")
-    members = staged(spark, groups.join(nodes, "node").withColumn("band", band), "ngram-members")
-    by_band = members.groupBy("grp", "band").agg(F.sum("n").alias("grams"))
-    whole = members.groupBy("grp").agg(F.sum("n").alias("grp_grams"))
-    chunks = F.ceil(F.col("grams") / (tile_ngrams // 2)).cast("long")
-    plan = by_band.select("grp", F.col("band"), chunks.alias("chunks"))
-    placed = (
-        members.join(whole, "grp")
-        .join(plan, ["grp", "band"])
-        .join(plan.select("grp", (F.col("band") - 1).alias("band"), F.col("chunks").alias("above")), ["grp", "band"], "left")
-        .join(plan.select("grp", (F.col("band") + 1).alias("band"), F.col("chunks").alias("below")), ["grp", "band"], "left")
-        .select("doc_id", "node", "grp", F.when(F.col("grp_grams") > tile_ngrams, F.struct("band", "chunks", F.coalesce("above", F.lit(0)).alias("above"), F.coalesce("below", F.lit(0)).alias("below"))).alias("cut"))
-    )
-
-    def deal(batches):
-        """Each set to the tiles it belongs to: (group, a chunk, the same or another chunk)."""
-        for batch, sets in sets_of(batches):
-            out = []
-            for row, grams in zip(batch.select(["node", "grp", "cut"]).to_pylist(), sets):
-                if _key(grams) != row["node"]:  # another text with the same id
+class Join:
+    """The steps of one join. ``portion_bytes``: text handled at once; ``tile_rows``: rows of a tile handled at once, above which it is cut into chunks; ``job_ngrams``: n-grams that meet one set in one job. None of them changes a result."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, portion_bytes: int = 2 << 20, tile_rows: int = 4096, job_ngrams: int = 1 << 20):
+        self.spark, self.words, self.num, self.den = spark, words, num, den
+        self.portion_bytes, self.tile_rows, self.job_ngrams = portion_bytes, tile_rows, job_ngrams
+        self.texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", text_key(F.col("text")))
+
+    def sets_of(self):
+        words, portion_bytes = self.words, self.portion_bytes
+
+        def read(batches: Iterator[pa.RecordBatch]):
+            for batch in portions(batches, "text", portion_bytes):
+                yield batch, ngram_sets(*utf8(batch.column(batch.schema.get_field_index("text"))), words)
+
+        return read
+
+    def describe(self) -> DataFrame:
+        """Kind 0, a row of the input: doc_id, text_key, n, node, body (its bitmap). Kind 1: a slice of a task's counts."""
+        sets_of, names = self.sets_of(), ["kind", "doc_id", "text_key", "n", "node", "body"]
+
+        def run(batches):
+            counts, seen = np.zeros(1 << SKETCH, np.int64), set()
+            for batch, sets in sets_of(batches):
+                keys = [_key(x) for x in sets]
+                fresh = [x for k, x in zip(keys, sets) if k not in seen and not seen.add(k) and len(x)]
+                if fresh:
+                    counts += np.bincount(_slot(np.concatenate(fresh)), minlength=1 << SKETCH)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column(0), batch.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([bitmap(x, 1) if len(x) else None for x in sets], pa.binary())], names)
+            if counts.any():
+                parts = [zstandard.compress(counts[a : a + SLICE].astype("<u4").tobytes(), 1) for a in range(0, 1 << SKETCH, SLICE)]
+                none = pa.nulls(len(parts), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), none, none, none, pa.array(np.arange(len(parts))), pa.array(parts, pa.binary())], names)
+
+        return staged(self.spark, self.texts.select("doc_id", "text", "text_key").mapInArrow(run, "kind int, doc_id long, text_key long, n long, node long, body binary"), "ngram-docs")
+
+    def levels(self, about: DataFrame) -> np.ndarray:
+        """The rarity of each hash, from the counts of all tasks: a table of fixed size."""
+
+        def unite(table: pa.Table) -> pa.Table:
+            total = np.zeros(SLICE, np.uint64)
+            for x in table["body"].to_pylist():
+                total += np.frombuffer(zstandard.decompress(x), "<u4")
+            return pa.table({"node": table["node"][:1], "body": pa.array([total.tobytes()], pa.binary())})
+
+        counts = np.zeros(1 << SKETCH, np.uint64)
+        for row in about.where("kind = 1").select("node", "body").groupBy("node").applyInArrow(unite, "node long, body binary").collect():
+            counts[row["node"] * SLICE : (row["node"] + 1) * SLICE] = np.frombuffer(row["body"], np.uint64)
+        return rarity(counts)
+
+    def shared(self, levels: np.ndarray) -> DataFrame:
+        """(tile, node, n, early): the nodes that meet others in a tile. Rows without a node name the tiles of more than ``tile_rows``."""
+        sets_of, num, den, most = self.sets_of(), self.num, self.den, self.tile_rows
+        table = self.spark.sparkContext.broadcast(levels)
+        least, edges = num // (den - num), band_edges(num, den)  # smaller sets link with equal ones only
+
+        def send(batches):
+            seen = set()
+            for _, sets in sets_of(batches):
+                keyed = {k: x for k, x in ((_key(x), x) for x in sets if len(x) >= max(2, least)) if k not in seen}
+                seen.update(keyed)
+                gram, of, place = prefixes(list(keyed.values()), table.value, num, den)
+                if len(gram):
+                    node, n = np.array(list(keyed), np.int64), np.array([len(x) for x in keyed.values()], np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(node[of]), pa.array(n[of]), pa.array(place < EARLY)], ["gram", "node", "n", "early"])
+
+        def meet(batches):
+            """Rows come in order of n-gram, size and node; a batch's last row waits for the next batch."""
+            last, before, counts = None, False, {}
+            for batch in chain(batches, [None]):
+                if batch is not None:
+                    gram, node, n, early = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                    if last is not None:
+                        gram, node, n, early = (np.concatenate([[x], y]) for x, y in zip(last, (gram, node, n, early)))
+                    if not len(gram):
+                        continue
+                elif last is None:
+                    return
+                else:
+                    gram, node, n, early = (np.array([x]) for x in last)
+                fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
+                gram, node, n, early = (x[fresh] for x in (gram, node, n, early))
+                band = np.searchsorted(edges, n, "right") - 1
+                group = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])).astype(np.int64)
+                spot = group * 4096 + band
+                kinds, members = np.unique(spot, return_counts=True)
+                has = lambda x: kinds[np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)] == x
+                alone = members[np.searchsorted(kinds, spot)] == 1
+                # at the ends of a batch, what lies beyond isn't known: those rows go to both tiles
+                first, final = group == 0 if before else np.zeros(len(group), bool), group == group[-1] if batch is not None else np.zeros(len(group), bool)
+                open_ = first | final
+                own, up = open_ | ~alone | has(spot - 1), final | has(spot + 1)
+                only = np.bincount(group)[group] == 1  # n-grams of one node
+                own, up = own & ~(only & ~open_), up & ~(only & ~open_)
+                stop = len(gram) - 1 if batch is not None else len(gram)
+                if batch is not None:
+                    before = bool(len(group) > 1 and group[-1] == group[-2]) or (before and group[-1] == 0)
+                    last = (gram[-1], node[-1], n[-1], early[-1])
+                base = mix(gram[:stop].astype(np.int64).view(U64) ^ U64(0xA24BAED4963EE407))
+                out = []
+                for step, chosen in ((0, own[:stop]), (1, up[:stop])):
+                    tile = mix(base[chosen] + (band[:stop][chosen] + step).astype(U64)).view(np.int64)
+                    out.append((tile, node[:stop][chosen], n[:stop][chosen], early[:stop][chosen] & (step == 0), group[:stop][chosen] == group[-1]))
+                tile, nodes, sizes, soon, going = (np.concatenate(x) for x in zip(*out))
+                if not len(tile):
                     continue
-                body, cut = grams.tobytes(), row["cut"]
-                if cut is None:
-                    out.append((row["grp"], -1, -1, row["node"], 0, body))
+                names, k = np.unique(tile, return_counts=True)
+                for t in counts.keys() & set(names.tolist()) if counts else ():  # an n-gram that goes on has its rows counted over batches
+                    k[np.searchsorted(names, t)] += counts[t]
+                large = names[k > most].tolist()
+                counts = {t: int(k[np.searchsorted(names, t)]) for t in np.unique(tile[going]).tolist()}
+                yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int64)), pa.array(nodes.astype(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(soon.astype(bool))], ["tile", "node", "n", "early"])
+                if large:
+                    yield pa.RecordBatch.from_arrays([pa.array(large, pa.int64()), pa.nulls(len(large), pa.int64()), pa.nulls(len(large), pa.int32()), pa.array([False] * len(large))], ["tile", "node", "n", "early"])
+
+        sent = self.texts.select("doc_id", "text").mapInArrow(send, "gram long, node long, n int, early boolean")
+        found = sent.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(meet, "tile long, node long, n int, early boolean")
+        return staged(self.spark, found, "ngram-shared")
+
+    def first_pairs(self, shared: DataFrame, nodes: DataFrame) -> DataFrame:
+        num, den, most = self.num, self.den, self.tile_rows
+
+        def pair(batches):
+            for tile, table in _aligned(batches, ["tile"], 20_000, most):
+                node = table["node"].to_numpy()
+                i, j = Tiles(tile, table["n"].to_numpy().astype(np.int64), _one(table["body"]), num, den).first_pairs()
+                pairs = np.unique(np.stack([node[i], node[j]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], schema=_PAIR)
+
+        # only the tiles of a set's own band here: what is missed is left to the second step
+        rows = shared.where("early").join(nodes.select("node", "body"), "node").select("tile", "n", "node", "body")
+        return rows.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(pair, "u long, v long").where("u != v").distinct()
+
+    def other_pairs(self, shared: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+        """What is within the bound in the tiles that hold more than one connected part, without the pairs tested already."""
+        num, den, chunk = self.num, self.den, max(1, self.tile_rows // 2)
+
+        def pair(batches):
+            for tile, table in _aligned(batches, ["tile"], 20_000, None):
+                node, label = table["node"].to_numpy(), table["label"].to_numpy()
+                few = table["few"].to_numpy(zero_copy_only=False).astype(bool)
+                starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+                mixed = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), np.diff(np.append(starts, len(tile))))
+                if not mixed.any():
                     continue
-                own = (cut["band"] << 32) + (row["node"] >> 8) % cut["chunks"]
-                for other in range(cut["chunks"]):
-                    other += cut["band"] << 32
-                    out.append((row["grp"], min(own, other), max(own, other), row["node"], own, body))
-                for other in range(cut["above"]):
-                    out.append((row["grp"], own, ((cut["band"] + 1) << 32) + other, row["node"], own, body))
-                for other in range(cut["below"]):
-                    out.append((row["grp"], ((cut["band"] - 1) << 32) + other, own, row["node"], own, body))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), _TILE)] if out else [pa.array([], f.type) for f in _TILE], schema=_TILE)
-
-    def link(table: pa.Table) -> pa.Table:
-        data, at = utf8(table["grams"])
-        sets = [np.frombuffer(data[a:b].tobytes(), U64) for a, b in zip(at, at[1:])]
-        links = tile_links(sets, longs(table["node"]), longs(table["side"]), num, den)
-        return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=_EDGE)
-
-    dealt = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(placed, "doc_id")
-    tiles = dealt.mapInArrow(deal, "grp long, ta long, tb long, node long, side long, grams binary")
-    linked = components(spark, tiles.groupBy("grp", "ta", "tb").applyInArrow(link, "u long, v long"))
-    classes = nodes.join(linked, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    named = classes.join(classes.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("node", "component", F.nullif("least", F.lit(NO_ID)).alias("least"))
-    linking = F.col("n_shingles") > 0
-    return about.join(named, "node").select("doc_id", "text_key", "n_shingles", F.when(linking, F.col("component")).alias("class"), F.when(linking, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+                rows = np.flatnonzero(mixed)
+                tile, node, label, few = tile[rows], node[rows], label[rows], few[rows]
+                table = table.take(pa.array(rows))
+                for i, j in Tiles(tile, table["n"].to_numpy().astype(np.int64), _one(table["body"].combine_chunks() if table["body"].num_chunks > 1 else table["body"]), num, den).all_pairs(label, few):
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], schema=_PAIR)
+
+        about = nodes.join(labels, "node", "left").select("node", "body", F.coalesce("label", "node").alias("label"))
+        rows = shared.where("node is not null")
+        large = staged(self.spark, shared.where("node is null").select("tile").distinct(), "ngram-large")
+        usual = rows
+        if not large.isEmpty():
+            usual = rows.join(large, "tile", "left_anti")
+        dealt = usual.join(about, "node").select("tile", "n", "node", "label", F.lit(True).alias("few"), "body")
+        if not large.isEmpty():
+            held = rows.join(large, "tile").join(about.drop("body"), "node")
+            parts = held.groupBy("tile", "label").agg(F.count("*").alias("k"))
+            # chunks of all rows, and of those outside the largest part: each of these meets all
+            cut = parts.groupBy("tile").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.sum("k").alias("k"), F.max("k").alias("most"), F.count("*").alias("labels")).where("labels > 1")
+            cut = staged(self.spark, cut.select("tile", "main", F.ceil(F.col("k") / chunk).cast("int").alias("ca"), F.ceil((F.col("k") - F.col("most")) / chunk).cast("int").alias("cb")), "ngram-tiles")
+            held = held.join(cut, "tile").withColumn("few", F.col("label") != F.col("main")).join(about.select("node", "body"), "node")
+            spot = F.xxhash64("node")
+            every = held.select(F.col("tile"), F.pmod(spot, "ca").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("b"), "n", "node", "label", F.lit(False).alias("few"), "body")
+            some = held.where("few").select("tile", F.explode(F.sequence(F.lit(0), F.col("ca") - 1)).alias("a"), F.pmod(spot, "cb").cast("int").alias("b"), "n", "node", "label", "few", "body")
+            dealt = dealt.unionByName(every.unionByName(some).select(F.xxhash64("tile", "a", "b").alias("tile"), "n", "node", "label", "few", "body"))
+        known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        return dealt.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(pair, "u long, v long").distinct().join(known, ["u", "v"], "left_anti")
+
+    def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (u, v) that link: u's set meets those of its v in one or more jobs, as many as their n-grams need."""
+        sets_of, num, den = self.sets_of(), self.num, self.den
+        sizes = pairs.join(nodes.select(F.col("node").alias("v"), "n"), "v").groupBy("u").agg(F.ceil(F.sum("n") / self.job_ngrams).cast("int").alias("jobs"))
+        jobs = pairs.join(sizes, "u").select("u", "v", F.pmod(F.xxhash64("v"), "jobs").cast("int").alias("job"))
+        asked = jobs.select(F.col("v").alias("node"), "u", "job", F.lit(1).alias("turn")).unionByName(jobs.select(F.col("u").alias("node"), "u", "job", F.lit(0).alias("turn")).distinct())
+        wanted = asked.groupBy("node").agg(F.collect_list(F.struct("u", "job", "turn")).alias("asked")).join(nodes.select("node", "doc_id", "text_key"), "node")
+
+        def deal(batches):
+            for batch, sets in sets_of(batches):
+                out = [(x["u"], x["job"], x["turn"], node, grams.tobytes()) for node, asked, grams in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets) if _key(grams) == node for x in asked]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["u", "job", "turn", "node", "grams"])
+
+        def check(batches):
+            at, own = None, None
+            for batch in batches:
+                found = []
+                for u, turn, node, grams in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+                    grams = np.frombuffer(grams.as_buffer(), U64)
+                    if turn == 0:
+                        at, own = u, grams.copy()
+                    elif at == u and linked(own, grams, num, den):
+                        found.append((u, node))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=_PAIR)
+
+        rows = self.texts.join(wanted, ["doc_id", "text_key"]).select("text", "node", "asked")
+        sent = rows.mapInArrow(deal, "u long, job int, turn int, node long, grams binary").repartition("u", "job").sortWithinPartitions("u", "job", "turn")
+        return staged(self.spark, sent.mapInArrow(check, "u long, v long"), "ngram-links")
+
+    def run(self) -> DataFrame:
+        about = self.describe()
+        rows = about.where("kind = 0")
+        first = F.min(F.struct("doc_id", "text_key"))
+        nodes = staged(self.spark, rows.groupBy("node").agg(first.alias("first"), F.first("n").alias("n"), F.first("body").alias("body")).select("node", "first.doc_id", "first.text_key", "n", "body"), "ngram-nodes")
+        shared = self.shared(self.levels(about))
+        tested = staged(self.spark, self.first_pairs(shared, nodes), "ngram-pairs")
+        links = self.links(tested, nodes)
+        labels = components(self.spark, links).withColumnRenamed("component", "label")
+        others = staged(self.spark, self.other_pairs(shared, nodes, labels, tested), "ngram-pairs")
+        if not others.isEmpty():
+            labels = components(self.spark, links.unionByName(self.links(others, nodes))).withColumnRenamed("component", "label")
+        classes = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("component"))
+        named = classes.join(classes.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("node", "component", F.nullif("least", F.lit(NO_ID)).alias("least"))
+        linking = F.col("n") > 0
+        out = rows.join(named, "node").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_key", F.col("n").alias("n_shingles"), F.when(linking, F.col("component")).alias("class"), F.when(linking, F.col("least")).otherwise(F.nullif("doc_id", F.lit(NO_ID))).alias("component_id"))
+        for table in (shared, tested, others):
+            discard(self.spark, table)
+        return out
+
+
+def classed_texts(spark: SparkSession, docs: DataFrame, **limits: int) -> DataFrame:
+    """``ngram_classes`` with the row's text_key and its class, which doesn't depend on ids; the class of texts without n-grams is null."""
+    return Join(spark, docs, **limits).run()
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
