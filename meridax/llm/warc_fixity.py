@@ -5,8 +5,8 @@ range is hashed, and hashes of ordered ranges are hashed again, ``FANOUT`` at a
 for the archive. An audit compares roots and descends only below nodes that differ, level by level, so that a sound
 replica costs one comparison and a damaged record a path of them. A leaf's hash covers its offset, length and bytes.
 
-Null url and html count as empty, a null page_id is written as -1. Repeated rows are records of their own. Extra columns are
-ignored. Empty tables give an empty archive, index and audit.
+Null url and html count as empty, a null page_id is written as -1; line breaks in a url are percent-encoded. Repeated rows are
+records of their own. Extra columns are ignored. Records and files that one replica lacks or adds are found too. Empty tables give an empty archive, index and audit.
 """
 
 from __future__ import annotations
@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from meridax.llm._scratch import staged
 
-FANOUT = 16
+FANOUT, LEVELS = 16, 6  # 16**6 records a file
 _FILE = "file string, image binary, offsets binary, page_ids binary"
 
 
 def warc_record(page_id: int, url: str, html: str) -> bytes:
     """One response record of WARC 1.1; its id derives from its number and body, so that runs agree."""
     body = html.encode()
+    url = url.replace("\r", "%0D").replace("\n", "%0A")  # a line break would end the header
     name = hashlib.md5(struct.pack("<q", page_id) + body).hexdigest()
     head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:md5:{name}>\r\nX-Page-ID: {page_id}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode() + body + b"\r\n\r\n"
@@ -76,85 +77,88 @@ def write_archive(spark: SparkSession, pages: DataFrame, *, file_records: int =
     return staged(spark, ranged.mapInArrow(pack, _FILE), "warc")
 
 
-def leaves(archive: DataFrame) -> DataFrame:
-    """(file, node, offset, length, page_id, hash): the hashed ranges of a replica, by its index."""
+def _above(sums: list[bytes]) -> list[bytes]:
+    return [hashlib.sha256(b"\x01" + b"".join(sums[i : i + FANOUT])).digest() for i in range(0, len(sums), FANOUT)]
+
+
+def tree_nodes(archive: DataFrame) -> DataFrame:
+    """(file, level, node, offset, length, page_id, hash): the hashed ranges of a replica by its index, at level 0, and all levels above them up to ``LEVELS``, in one pass."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, image, offsets, page_ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, image, offsets, page_ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 at, ids = np.frombuffer(offsets, "<i8"), np.frombuffer(page_ids, "<i8")
-                view = memoryview(image)
-                sums = [hashlib.sha256(struct.pack("<cqq", b"\x00", a, b - a) + bytes(view[a:b])).hexdigest() for a, b in zip(at.tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(ids)), pa.array(np.arange(len(ids), dtype=np.int64)), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(ids), pa.array(sums)], ["file", "node", "offset", "length", "page_id", "hash"])
-
-    return archive.select("file", "image", "offsets", "page_ids").mapInArrow(hashed, "file string, node long, offset long, length long, page_id long, hash string")
+                view = memoryview(image.as_buffer())
+                sums = [hashlib.sha256(struct.pack("<cqq", b"\x00", a, b - a) + view[a:b]).digest() for a, b in zip(at.tolist(), at[1:].tolist())]
+                level, columns = 0, [at[:-1], np.diff(at), ids]
+                while sums:
+                    n = len(sums)
+                    about = [pa.array(x) if level == 0 else pa.nulls(n, pa.int64()) for x in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array(np.full(n, level, np.int32)), pa.array(np.arange(n, dtype=np.int64)), *about, pa.array([x.hex() for x in sums])], ["file", "level", "node", "offset", "length", "page_id", "hash"])
+                    if level == LEVELS:
+                        if n > 1:
+                            raise ValueError(f"{file} has more than {FANOUT**LEVELS} records")
+                        break
+                    level, sums = level + 1, _above(sums)
+
+    return archive.select("file", "image", "offsets", "page_ids").mapInArrow(hashed, "file string, level int, node long, offset long, length long, page_id long, hash string")
 
 
 class Tree:
-    """The levels of a replica's tree: within files by groups of ``FANOUT``, then over files by their hashed names in the same way."""
+    """A replica's tree, each level staged once: within files by groups of ``FANOUT``, always ``LEVELS`` levels, then over files by prefixes of their hashed names.
+
+    Levels and prefixes are absolute, so that replicas of different sizes and with different files still align.
+    """
 
     def __init__(self, spark: SparkSession, archive: DataFrame):
-        self.spark, self.leaves = spark, staged(spark, leaves(archive), "merkle-leaves")
-        files, most = self.leaves.agg(F.count_distinct("file"), F.coalesce(F.max("node"), F.lit(0))).first()
-        depth = digits = 0
+        self.spark, self.nodes = spark, staged(spark, tree_nodes(archive), "merkle-nodes")
+        self.files = staged(spark, self.nodes.where(f"level = {LEVELS}").select("file", "hash"), "merkle-files")
+        self.leaves = self.nodes.where("level = 0").drop("level")
+        files, most = self.files.count(), self.nodes.where("level = 0").agg(F.coalesce(F.max("node"), F.lit(0))).first()[0]
+        self.depth = self.digits = 0  # the levels that hold more than a node a file, and the prefixes that tell files apart
         while most > 0:
-            depth, most = depth + 1, most // FANOUT
-        while FANOUT**digits < files:
-            digits += 1
-        self.build(depth, digits)
-
-    def build(self, depth: int, digits: int) -> None:
-        """So many levels above the records of a file, and so many over files; two trees compare only at the same ones."""
-        self.depth, self.digits = depth, digits
-        level = self.leaves.select("file", "node", "hash")
-        self.inside = [level]
-        for _ in range(depth):
-            level = self._up(level, [F.col("file")])
-            self.inside.append(level)
-        roots = level.groupBy("file").agg(F.first("hash").alias("hash"))
-        self.files = staged(self.spark, roots, "merkle-files")
-        # over files: groups by prefixes of the hashed name, so that replicas with other files still align
-        self.over = []
+            self.depth, most = self.depth + 1, most // FANOUT
+        while FANOUT**self.digits < files:
+            self.digits += 1
+
+    def over(self, digits: int) -> list[DataFrame]:
+        """(group, hash) for the prefixes of 0 to ``digits`` hexadecimal digits, each from the level below it."""
+        below = self.files.select(F.substring(F.md5("file"), 1, digits).alias("group"), F.md5("file").alias("key"), F.concat("file", "hash").alias("part"))
+        out: list[DataFrame] = []
         for d in range(digits, -1, -1):
-            group = F.substring(F.md5("file"), 1, d)
-            self.over.append(self.files.groupBy(group.alias("group")).agg(F.sha2(F.concat(F.lit("\x01"), F.concat_ws("", F.sort_array(F.collect_list(F.concat("file", "hash"))))), 256).alias("hash")) if d == digits else self._over(self.over[-1], d))
-
-    @staticmethod
-    def _up(level: DataFrame, keys: list) -> DataFrame:
-        children = F.sort_array(F.collect_list(F.struct("node", "hash")))
-        return level.groupBy(*keys, F.floor(F.col("node") / FANOUT).alias("node")).agg(children.alias("c")).select("file", "node", F.sha2(F.concat(F.lit("\x01"), F.concat_ws("", F.transform("c", lambda x: x["hash"]))), 256).alias("hash"))
-
-    @staticmethod
-    def _over(level: DataFrame, digits: int) -> DataFrame:
-        children = F.sort_array(F.collect_list(F.struct("group", "hash")))
-        return level.groupBy(F.substring("group", 1, digits).alias("g")).agg(children.alias("c")).select(F.col("g").alias("group"), F.sha2(F.concat(F.lit("\x01"), F.concat_ws("", F.transform("c", lambda x: F.concat(x["group"], x["hash"])))), 256).alias("hash"))
+            joined = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("key", "part"))), lambda x: x["part"]))
+            out.append(staged(self.spark, below.groupBy("group").agg(F.sha2(F.concat(F.lit("\x01"), joined), 256).alias("hash")), "merkle-over"))
+            below = out[-1].select(F.substring("group", 1, max(0, d - 1)).alias("group"), F.col("group").alias("key"), F.concat("group", "hash").alias("part"))
+        return out[::-1]
 
 
-def _differing(a: DataFrame, b: DataFrame, keys: list[str], below: DataFrame | None, parent: list) -> DataFrame:
-    """Keys at one level, below differing parents, whose hashes differ or that one side lacks."""
-    if below is not None:
-        above = below.select(*[F.col(k).alias(f"p{i}") for i, (_, k) in enumerate(parent)])
-        a, b = (x.withColumns({f"p{i}": F.expr(c).cast(above.schema[f"p{i}"].dataType) for i, (c, _) in enumerate(parent)}).join(above, above.columns, "left_semi") for x in (a, b))
+def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose hashes differ or that one side lacks."""
     both = a.select(*keys, F.col("hash").alias("left")).join(b.select(*keys, F.col("hash").alias("right")), keys, "full_outer")
     return both.where("not (left <=> right)").select(*keys)
 
 
 def audit(primary: Tree, replica: Tree) -> DataFrame:
-    """(file, node) of the records that differ: roots first, then only the children of nodes that differ."""
-    depth, digits = max(primary.depth, replica.depth), max(primary.digits, replica.digits)
-    for t in (primary, replica):
-        if (t.depth, t.digits) != (depth, digits):
-            t.build(depth, digits)
+    """(file, node) of the records that differ: roots first, then only the children of nodes that differ, a staged level at a time."""
+    spark, depth, digits = primary.spark, max(primary.depth, replica.depth), max(primary.digits, replica.digits)
     at = None
-    for k in range(len(primary.over) - 1, -1, -1):
-        a, b = (t.over[k] for t in (primary, replica))
-        digits = len(primary.over) - 1 - k
-        at = _differing(a, b, ["group"], at, [(f"substring(`group`, 1, {max(0, digits - 1)})", "group")])
-    digits = len(primary.over) - 1
-    files = _differing(primary.files, replica.files, ["file"], at, [(f"substring(md5(file), 1, {digits})", "group")])
-    at = files.withColumn("node", F.lit(0).cast("long"))
-    for a, b in list(zip(primary.inside, replica.inside))[::-1][1:]:
-        at = _differing(a, b, ["file", "node"], at, [("file", "file"), (f"floor(node / {FANOUT})", "node")])
+    for d, sides in enumerate(zip(primary.over(digits), replica.over(digits))):
+        if at is not None:
+            above = at.withColumnRenamed("group", "above")
+            sides = [x.join(above, F.substring(x["group"], 1, d - 1) == above["above"], "left_semi") for x in sides]
+        at = staged(spark, _differing(*sides, ["group"]), "merkle-differing")
+        if at.isEmpty():  # a sound replica ends at the roots
+            return primary.leaves.where("false").select("file", "node")
+    prefix = at.withColumnRenamed("group", "above")
+    sides = [t.files.join(prefix, F.substring(F.md5(t.files["file"]), 1, digits) == prefix["above"], "left_semi") for t in (primary, replica)]
+    at = staged(spark, _differing(*sides, ["file"]).withColumn("node", F.lit(0).cast("long")), "merkle-differing")
+    for level in range(depth - 1, -1, -1):
+        above = at.select(F.col("file").alias("in_file"), F.col("node").alias("above"))
+        sides = []
+        for t in (primary, replica):
+            x = t.nodes.where(F.col("level") == level)
+            sides.append(x.join(above, (x["file"] == above["in_file"]) & (F.floor(x["node"] / FANOUT) == above["above"]), "left_semi"))
+        at = staged(spark, _differing(*sides, ["file", "node"]), "merkle-differing")
     return at
 
 
