@@ -2,10 +2,11 @@
 
 1. Texts become ids plus an end id; longer ones are cut into pieces of ``capacity``. Pieces are written once.
 2. Only the histogram of lengths (at most ``capacity`` numbers) comes to the driver.
-3. Lengths are rounded up to ``capacity / 512`` size classes. The program, cover each class with patterns that fit into a
-   sequence, is solved by multiplicative weights: a knapsack dynamic program finds the pattern of most weight; it is taken
-   for a small share of the scarcest class it holds; covered classes lose weight.
-4. Patterns are rounded down; the rest, and the short lengths, fill the gaps by best fit, longest first.
+3. Lengths form at most 256 classes of about equal mass, each rounded up to its longest. The program, cover each class with
+   patterns that fit into a sequence, is solved by multiplicative weights with knapsack dynamic programming as pricing,
+   until the cover is within 1 % of the dual's bound (else, after 40 rounds, a warning tells the gap; the cover is whole in any case).
+4. Patterns are rounded down, then used once more where pieces are left. The rest, and the shortest pieces, whose mass is
+   that of the rounding, fill the gaps by best fit, longest first.
 5. The plan gives intervals of ranks within a length; each piece finds its place by its rank. Ranks come from counts per
    part and length, so no length's pieces meet in one task.
 
@@ -15,6 +16,7 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -29,62 +31,123 @@ from pyspark.sql import functions as F
 from meridax.llm._scratch import staged
 from meridax.llm.tokenizing import tokenizer_path, word_cache
 
-CLASSES = 512
+CLASSES = 256
 
 
-def best_pattern(weight: np.ndarray, units: int) -> tuple[float, Counter]:
-    """The unbounded knapsack: classes (1 to units, of that size) of most weight within ``units``."""
-    best, choice = np.zeros(units + 1), np.zeros(units + 1, np.int64)
-    for c in range(1, units + 1):
-        value = weight[1 : c + 1] + best[c - 1 :: -1][:c]
-        k = int(value.argmax())
-        best[c], choice[c] = value[k], k + 1
-    pattern, left = Counter(), units
-    while left:
-        if weight[choice[left]] > 0:  # else room that stays free
-            pattern[int(choice[left])] += 1
-        left -= int(choice[left])
-    return float(best[units]), pattern
+def size_classes(histogram: dict[int, int], capacity: int, classes: int = CLASSES) -> list[list[list[int]]]:
+    """Lengths in classes of about equal mass, the longest first: [length, pieces] of each, in order. A class counts as its longest length.
 
+    The shortest pieces stay out, as many as the rounding up wastes: they fill the gaps that it leaves.
+    """
+    lengths = sorted(histogram, reverse=True)
+    mass = sum(k * histogram[k] for k in lengths) / classes
+    out, held = [], 0.0
+    for length in lengths:
+        if not out or held >= len(out) * mass:
+            out.append([])
+        out[-1].append([length, histogram[length]])
+        held += length * histogram[length]
+    waste = sum((c[0][0] - length) * n for c in out for length, n in c)
+    while waste > 0 and out:
+        length, n = out[-1].pop()
+        waste -= length * n + (out[-1][0][0] - length if out[-1] else 0) * n
+        if not out[-1]:
+            out.pop()
+    return out
+
+
+def best_pattern(weight: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The unbounded knapsack by dynamic programming: how often each class is taken for the most weight within ``capacity``."""
+    order = np.argsort(size, kind="stable")
+    size, weight = size[order], weight[order]
+    fit = np.searchsorted(size, np.arange(capacity + 1), "right")
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for c in range(1, capacity + 1):
+        best[c] = best[c - 1]
+        if fit[c]:
+            value = weight[: fit[c]] + best[c - size[: fit[c]]]
+            k = int(value.argmax())
+            if value[k] > best[c]:
+                best[c], choice[c] = value[k], k
+    pattern, c = np.zeros(len(size), np.int64), capacity
+    while c > 0:
+        if choice[c] < 0:
+            c -= 1
+        else:
+            pattern[order[choice[c]]] += 1
+            c -= int(size[choice[c]])
+    return float(best[capacity]), pattern
 
-def configuration_program(demand: np.ndarray, *, step: float = 0.1, rounds: int = 3000) -> dict[tuple, float]:
-    """Patterns and how often each is used: multiplicative weights, until each class (1 to len - 1) is covered 12 times or after ``rounds``.
 
-    With many classes the rounds may end while some have no coverage; their pieces are left to best fit.
+def configuration_program(size: np.ndarray, demand: np.ndarray, capacity: int, *, gap: float = 0.01, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (a row each), how often each is used so that every class is covered, and the dual's lower bound on any cover.
+
+    Multiplicative weights with knapsack pricing. First with steps as long as they go: a class's weight falls with what is
+    left of its demand, the best pattern of these weights is used until it has covered a class. Then, until cover and bound
+    differ by at most ``gap``, patterns and classes play the program as a game, both by optimistic multiplicative weights;
+    the knapsack prices the classes' weights, which gives a bound, and adds the pattern that pays most. The cover is whole from
+    the first step on; if ``rounds`` don't bring it within ``gap``, the best one is used and a warning tells the gap.
     """
-    units = len(demand) - 1
-    needed = np.flatnonzero(demand)
+    if not len(size):
+        return np.zeros((0, 0), np.int64), np.zeros(0), 0.0
+    demand = demand.astype(float)
     used: dict[tuple, float] = {}
-    covered = np.zeros(units + 1)
-    if not len(needed):
-        return used
-    weight = np.zeros(units + 1)
-    weight[needed] = 1 / demand[needed]
+    left = demand.copy()
+    while left.any():
+        _, pattern = best_pattern(size * np.sqrt(left / demand), size, capacity)
+        held = np.flatnonzero(pattern * left)
+        amount = float((left[held] / pattern[held]).min())
+        left[held] = left[held] - amount * pattern[held]
+        left[left < 1e-9 * demand] = 0
+        used[tuple(pattern.tolist())] = used.get(tuple(pattern.tolist()), 0.0) + amount
+    pool, x = np.array(list(used)), np.array(list(used.values()))
+    cover = best = x
+    y = size * demand / (size * demand).sum()
+    bound = 1 / best_pattern(y / demand, size, capacity)[0]
+    x, turns = x / x.sum(), 500
     for _ in range(rounds):
-        _, pattern = best_pattern(weight, units)
-        classes, times = np.array(list(pattern)), np.array(list(pattern.values()))
-        amount = step * float((demand[classes] / times).min())
-        key = tuple(sorted(pattern.items()))
-        used[key] = used.get(key, 0) + amount
-        covered[classes] += amount * times
-        weight[classes] *= np.exp(-amount * times / demand[classes])
-        if (covered[needed] / demand[needed]).min() >= 12:
-            break
-        if weight[needed].max() < 1e-250:
-            weight /= weight.max()
-    least = float((covered[needed] / demand[needed]).min())
-    scale = 1 / least if least > 0 else 1 / max(1.0, float((covered[needed] / demand[needed]).max()))
-    return {k: v * scale for k, v in used.items()}
+        if best.sum() <= (1 + gap) * bound:
+            return pool[: len(best)], best, bound
+        game = pool.T / demand[:, None]
+        game = game / max(1e-300, float(y @ game @ x))
+        step = 0.5 / max(1.0, np.sqrt(game.max()))
+        a, b, ga, gb = np.log(np.maximum(x, 1e-12)), np.log(np.maximum(y, 1e-12)), game.T @ y, game @ x
+        sums = [np.zeros_like(x), np.zeros_like(y)]
+        for t in range(turns):
+            na, nb = game.T @ y, game @ x
+            a, b, ga, gb = a + step * (2 * na - ga), b - step * (2 * nb - gb), na, nb
+            x, y = np.exp(a - a.max()), np.exp(b - b.max())
+            x, y = x / x.sum(), y / y.sum()
+            if 2 * t >= turns:
+                sums = [sums[0] + x, sums[1] + y]
+        fresh = []
+        for p, q in ((sums[0] / sums[0].sum(), sums[1] / sums[1].sum()), (x, y)):
+            covered = ((pool.T @ p) / demand).min()
+            cover = p / covered if covered > 0 else cover
+            best = cover if cover.sum() < best.sum() else best
+            value, pattern = best_pattern(q / demand, size, capacity)
+            bound = max(bound, 1 / value)
+            key = tuple(pattern.tolist())
+            if key not in used:
+                used[key] = 0.0
+                fresh.append(pattern)
+        if fresh:
+            pool = np.concatenate([pool, fresh])
+            x = np.concatenate([sums[0] / sums[0].sum() * 0.9, np.full(len(fresh), 0.1 / len(fresh))])
+        else:
+            turns *= 2
+    warnings.warn(f"the cover is {best.sum() / bound - 1:.1%} above the bound after {rounds} rounds", stacklevel=2)
+    return pool[: len(best)], best, bound
 
 
 class Plan:
-    """Sequences as blocks of equal make-up. ``rows``: length, first rank, past the last rank, times a sequence, first sequence, offset."""
+    """Sequences as blocks of equal make-up. ``by_patterns``: how many come from the program; ``cover`` and ``bound``: its value and the dual's bound. ``rows``: length, first rank, past the last rank, times a sequence, first sequence, offset."""
 
     def __init__(self, histogram: dict[int, int], capacity: int):
         self.capacity, self.left = capacity, {k: v for k, v in histogram.items() if v}
         self.next_rank = dict.fromkeys(self.left, 0)
         self.rows: list[tuple] = []
-        self.sequences = 0
+        self.sequences = self.in_blocks = 0
         self.open: dict[int, list[tuple[int, tuple]]] = {}  # gap: blocks (sequences, ((length, times), ...))
         self.gaps: list[int] = []
         self._patterns()
@@ -116,40 +179,42 @@ class Plan:
         self.sequences += n
 
     def _patterns(self) -> None:
-        unit = -(-self.capacity // CLASSES)
-        short = 2 * unit  # they fill gaps
-        pools: dict[int, list[list[int]]] = {}
-        for length in sorted(self.left, reverse=True):
-            if length > short:
-                pools.setdefault(-(-length // unit), []).append([length, self.left[length]])
-        demand = np.zeros(CLASSES + 1)
-        for c, pool in pools.items():
-            demand[c] = sum(n for _, n in pool)
-        for pattern, amount in sorted(configuration_program(demand).items(), key=lambda x: -x[1]):
-            copies = int(min([amount, *(sum(n for _, n in pools[c]) // times for c, times in pattern)]))
-            while copies > 0:
-                lengths, n = [], copies
-                for c, times in pattern:  # as many sequences as the longest lengths of each class serve alike
-                    pool = pools[c]
-                    if pool[0][1] >= times:
-                        n = min(n, pool[0][1] // times)
-                        lengths.append((pool[0][0], times))
-                    else:
-                        n, need = 1, times
-                        for length, have in pool:
-                            lengths.append((length, min(have, need)))
-                            need -= min(have, need)
-                            if not need:
-                                break
-                for length, times in lengths:
-                    pool = pools[-(-length // unit)]
-                    k = next(i for i, x in enumerate(pool) if x[0] == length)
-                    pool[k][1] -= n * times
-                    self.left[length] -= n * times
-                    if not pool[k][1]:
-                        del pool[k]
-                self._add(self.capacity - sum(a * b for a, b in lengths), n, tuple(lengths))
-                copies -= n
+        """Each pattern as often as the program uses it, rounded down, then once more where the pieces are there."""
+        pools = size_classes(self.left, self.capacity)
+        sizes, demand = np.array([c[0][0] for c in pools], np.int64), np.array([sum(n for _, n in c) for c in pools], np.int64)
+        patterns, amounts, self.bound = configuration_program(sizes, demand, self.capacity)
+        self.cover = float(amounts.sum())
+        for rounded in (np.floor, np.ceil):
+            for p in np.argsort(-amounts, kind="stable"):
+                wanted = int(rounded(amounts[p]) - (np.floor(amounts[p]) if rounded is np.ceil else 0))
+                held = [(int(c), int(patterns[p, c])) for c in np.flatnonzero(patterns[p])]
+                self._use(pools, held, min([wanted, *(sum(n for _, n in pools[c]) // times for c, times in held)]))
+        self.by_patterns = self.in_blocks
+
+    def _use(self, pools: list, held: list[tuple[int, int]], copies: int) -> None:
+        """So many sequences of a pattern, from the longest lengths of its classes."""
+        while copies > 0:
+            lengths, n = [], copies
+            for c, times in held:  # as many sequences as the longest lengths of each class serve alike
+                if pools[c][0][1] >= times:
+                    n = min(n, pools[c][0][1] // times)
+                    lengths.append((c, pools[c][0][0], times))
+                else:
+                    n, need = 1, times
+                    for length, have in pools[c]:
+                        lengths.append((c, length, min(have, need)))
+                        need -= min(have, need)
+                        if not need:
+                            break
+            for c, length, times in lengths:
+                k = next(i for i, x in enumerate(pools[c]) if x[0] == length)
+                pools[c][k][1] -= n * times
+                self.left[length] -= n * times
+                if not pools[c][k][1]:
+                    del pools[c][k]
+            self._add(self.capacity - sum(a * b for _, a, b in lengths), n, tuple((a, b) for _, a, b in lengths))
+            self.in_blocks += n
+            copies -= n
 
     def _best_fit(self) -> None:
         for length in sorted(self.left, reverse=True):
