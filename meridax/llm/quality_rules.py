@@ -3,7 +3,8 @@
 All columns are built-in expressions over ``text``; no user function, no join, no shuffle.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null text has no words and no lines, as empty text; both fail the base rule on length.
-Texts of any length are measured whole. Repeated rows are judged alike; other columns, a null doc_id too, pass through.
+Texts of any length are measured whole. Repeated rows are judged alike; other columns, a null doc_id too, pass through, but
+for those named like a measure, which the measures replace.
 An empty table gives an empty result. Windows are compared by 64-bit hashes of their words.
 """
 
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridax.llm._columns import apart
+
 #: Frequent short words of English, French, German and Spanish.
 STOP_WORDS = (
     "the of and to in is that for was with as on be at by this it from or an are a "
@@ -46,16 +49,20 @@ RULES = (
 )
 
 
+MEASURES = "n_words word_chars n_symbols n_dup_lines n_repeat_words mean_word_chars symbols_per_word marks_per_word stop_word_share dup_line_share repeat_word_share base_failed kept".split()
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 
 
 def measured(docs: DataFrame, *, window: int = 8) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the ratios of the rules."""
+    docs, back = apart(docs, MEASURES, ["text"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     chars = lambda kinds: F.length(text) - F.length(F.translate(text, kinds, ""))
     frame = docs.select(
-        *docs.columns,
+        *[c for c in docs.columns if c != "text"],
         _words(text).alias("words"),
         F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0).alias("lines"),
         (F.length(text) - chars(" \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
@@ -79,7 +86,7 @@ def measured(docs: DataFrame, *, window: int = 8) -> DataFrame:
     covered = F.when(F.size("twice") > 1, F.aggregate(F.sequence(F.lit(0), F.size("twice") - 2), F.lit(window), lambda total, i: total + step(i)))
     n = F.size("words")
     return frame.select(
-        *docs.columns,
+        *back,
         n.cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",

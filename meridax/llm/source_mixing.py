@@ -10,7 +10,8 @@ buckets in ascending order as far as they fit, then documents one by one in the
 words differ from the target by less than one document. Sums per bucket go through the shuffle, not documents.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; null or empty text has size 0 and is taken 0 times in words. Null sources form one
-source. Rows with equal ids and texts are drawn together. Extra columns pass through. An empty table gives an empty result.
+source. Rows with equal ids and texts are drawn together. Extra columns pass through, but for those named like what ``mixed`` makes,
+which it replaces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meridax.llm._columns import apart
 from meridax.llm._scratch import staged
 
 
@@ -44,7 +46,7 @@ def mixed(docs: DataFrame, *, cycle: int = 3, max_epochs: int = 3, seed: int = 1
 
     ``broadcast_sources``: the plan, a row for each source, is broadcast up to so many; a larger one is joined.
     """
-    own = list(docs.columns)
+    docs, back = apart(docs, ["size", "source_size", "target", "times"], ["doc_id", "text", "source"])
     spot = F.xxhash64(F.lit(seed), "doc_id", "text")
     bucket = F.shiftrightunsigned(spot, 52).cast("int")
     sized = docs.withColumn("mix_size", word_count(F.col("text"))).withColumn("mix_spot", spot).withColumn("mix_bucket", bucket)
@@ -79,7 +81,7 @@ def mixed(docs: DataFrame, *, cycle: int = 3, max_epochs: int = 3, seed: int = 1
     place, edge = F.col("d.mix_bucket"), F.col("p.edge.mix_bucket")
     more = F.when(edge.isNull() | (place < edge) | ((place == edge) & (F.col("d.mix_spot") <= F.col("p.last"))), 1).otherwise(0)
     more = F.when(F.col("p.part") > 0, more).otherwise(0)
-    return joined.select(*[F.col(f"d.`{c}`") for c in own], F.col("d.mix_size").alias("size"), F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), (F.col("p.whole") + more).alias("times"))
+    return joined.select(*back, F.col("d.mix_size").alias("size"), F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), (F.col("p.whole") + more).alias("times"))
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
