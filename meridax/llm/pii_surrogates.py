@@ -2,13 +2,17 @@
 
 One pattern finds e-mail addresses, phone numbers, payment cards, national and bank numbers, network addresses, secrets
 and titled names. Each gets a replacement that depends on a key and its own value, so that the same entity gets the same
-surrogate everywhere (coreference), with its type, length, punctuation, letter case, script and, for titled names, gender;
-a card with a valid check digit gets a valid one. A check over all different values finds surrogates that two values share
-or that are themselves a value of the corpus; those values are keyed anew until none is left. Only such values, which are
-few, are joined back; all others are computed in place.
+surrogate everywhere (coreference). Numbers, secrets and the part of an address before the @ keep length, punctuation and
+the kind of each character; a domain becomes one of example.net, the same for equal domains; a private network address
+stays private; names keep title (and so gender), number of words and script (Latin, Cyrillic or Greek), and equal given
+or family names stay equal. A card or bank number with a valid check digit gets a valid one.
+
+A check over all different values finds surrogates that two values share or that are themselves a value of the corpus;
+those values are keyed anew until none is left, from the third time on in a wider space (longer names and addresses,
+another private network). Only such values, which are few, are joined back; all others are computed in place.
 
 Null text stays null, empty text empty; texts of any length are read whole. Repeated rows get equal results. Other columns,
-a null doc_id too, pass through. An empty table gives an empty result.
+a null doc_id too, pass through; an input column n_entities is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridax.llm._scratch import staged
+from meridax.llm._columns import apart
+from meridax.llm._scratch import discard, staged
 
 #: Titles that tell a gender.
 TITLES_M = "Mr Herr Monsieur Señor Sr Don".split()
@@ -87,7 +92,16 @@ def _syllables(stream: Column, first: int, n: int) -> Column:
 
 
 def _in_script_of(word: Column, made: Column) -> Column:
-    return F.when(word.rlike("\\p{IsCyrillic}"), F.translate(F.initcap(made), "abdegiklmnoprstuvBDGKLMNPRSTV", "абдегиклмнопрстувБДГКЛМНПРСТВ")).otherwise(F.initcap(made))
+    own = F.initcap(made)
+    cyrillic = F.translate(own, "abdegiklmnoprstuvBDGKLMNPRSTV", "абдегиклмнопрстувБДГКЛМНПРСТВ")
+    greek = F.translate(own, "abdegiklmnoprstuvBDGKLMNPRSTV", "αβδεγικλμνοπρστυφΒΔΓΚΛΜΝΠΡΣΤΦ")
+    return F.when(word.rlike("\\p{IsCyrillic}"), cyrillic).when(word.rlike("\\p{IsGreek}"), greek).otherwise(own)
+
+
+def _mod97(compact: Column) -> Column:
+    """The remainder by 97 of a bank number's characters, letters as 10 to 35."""
+    step = lambda a, c: F.when(c.between("0", "9"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(_chars(compact), F.lit(0), step)
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
@@ -97,17 +111,27 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     like = _like(value, seed)
     local, domain = F.substring_index(value, "@", 1), F.lower(F.substring_index(value, "@", -1))
     host = F.pmod(F.xxhash64(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain)), F.lit(10**9)).cast("string")
-    email = F.concat(_like(local, seed), F.lit("@"), F.when(value.rlike("[a-z]"), F.concat(F.lit("d"), host, F.lit(".example.net"))).otherwise(F.concat(F.lit("D"), host, F.lit(".EXAMPLE.NET"))))
+    wider = F.when(attempt > 2, F.substring(stream, F.lit(100), F.lit(12))).otherwise("")  # letters and digits
+    email = F.concat(_like(local, seed), wider, F.lit("@"), F.when(value.rlike("[a-z]"), F.concat(F.lit("d"), host, F.lit(".example.net"))).otherwise(F.concat(F.lit("D"), host, F.lit(".EXAMPLE.NET"))))
     octet = lambda k: (_number(stream, F.lit(1 + 4 * k), 4) % 254 + 1).cast("string")
     public = F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))
-    ip = F.when(value.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).when(value.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), octet(2), octet(3))).otherwise(public)
+    inner = F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))
+    middle = F.concat_ws(".", F.lit("172"), (_number(stream, F.lit(30), 2) % 16 + 16).cast("string"), octet(2), octet(3))
+    # private networks: their own first, then a larger one, at last the addresses that nobody may use
+    private = F.when(value.startswith("10."), inner).when(attempt > 2, inner).when(value.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), octet(2), octet(3))).otherwise(middle)
+    reserved = F.concat_ws(".", (_number(stream, F.lit(40), 2) % 15 + 240).cast("string"), octet(1), octet(2), octet(3))
+    ip = F.when(value.rlike("^(?:10|192\\.168|172\\.(?:1[6-9]|2\\d|3[01]))\\."), F.when(attempt > 8, reserved).otherwise(private)).otherwise(public)
     lead = F.regexp_extract(value, "^(\\+\\d{1,2}(?=[ .(-])|)", 1)
     phone = F.concat(lead, F.substring(like, F.length(lead) + 1, F.length(like)))
     digits = F.translate(value, " -", "")
     body = F.concat(F.substring(value, F.lit(1), F.lit(1)), F.substring(like, F.lit(2), F.length(like) - 2))
     check = F.pmod(10 - _luhn(F.concat(F.translate(body, " -", ""), F.lit("0"))) % 10, F.lit(10)).cast("string")
     card = F.concat(body, F.when(_luhn(digits) % 10 == 0, check).otherwise(F.substring(like, F.length(like), F.lit(1))))
-    bank = F.concat(F.substring(value, F.lit(1), F.lit(2)), F.substring(like, F.lit(3), F.length(like)))
+    country, account = F.substring(value, F.lit(1), F.lit(2)), F.substring(like, F.lit(5), F.length(like))
+    compact = F.translate(value, " ", "")
+    valid = _mod97(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, F.lit(1), F.lit(4)))) == 1
+    sign = F.lpad((98 - _mod97(F.concat(F.translate(account, " ", ""), country, F.lit("00")))).cast("string"), 2, "0")
+    bank = F.concat(country, F.when(valid, sign).otherwise(F.substring(like, F.lit(3), F.lit(2))), account)
     secret = F.concat(F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-|)", 1), F.substring(_like(value, seed, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), F.length(F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-|)", 1)) + 1, F.length(value)))
     title = F.substring_index(value, " ", 1)
     family, given = F.substring_index(value, " ", -1), F.when(F.size(F.split(value, " ")) > 2, F.get(F.split(value, " "), F.lit(1)))
@@ -125,15 +149,18 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, value) of each match in each text, repeated ones too."""
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(0))).alias("value"))
-    return found.select("doc_id", kind_of(F.col("value")).alias("kind"), "value")
+    """(doc_id, text_key, kind, value) of each match in each text, repeated ones too."""
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(0))).alias("value"))
+    return found.select("doc_id", "text_key", kind_of(F.col("value")).alias("kind"), "value")
+
 
+def collisions(spark: SparkSession, values: DataFrame, key: str, rounds: int = 40) -> DataFrame:
+    """(kind, value, attempt) of the values whose first surrogate is shared or is itself a value: keyed anew until all are distinct.
 
-def collisions(spark: SparkSession, values: DataFrame, key: str) -> DataFrame:
-    """(kind, value, attempt) of the values whose first surrogate is shared or is itself a value: keyed anew until all are distinct."""
+    Each round keys only the losers of the one before. If ``rounds`` aren't enough, ValueError tells how many are left.
+    """
     fixed = staged(spark, values.select("kind", "value", F.lit(0).alias("attempt")), "pii-values")
-    while True:
+    for _ in range(rounds):
         made = fixed.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
         taken = made.select("kind", F.col("value").alias("made"), F.lit(1).alias("original"), F.lit(None).cast("string").alias("value"))
         owner = made.select("kind", "made", F.lit(0).alias("original"), "value").unionByName(taken).groupBy("kind", "made").agg(F.max("original").alias("original"), F.min("value").alias("owner"), F.count("value").alias("n"))
@@ -141,30 +168,36 @@ def collisions(spark: SparkSession, values: DataFrame, key: str) -> DataFrame:
         losers = staged(spark, made.join(bad, ["kind", "made"]).where("original = 1 or value != owner").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "pii-losers")
         if losers.isEmpty():
             return fixed.where("attempt > 0")
-        fixed = staged(spark, fixed.join(losers.select("kind", "value", F.col("attempt").alias("next")), ["kind", "value"], "left").select("kind", "value", F.coalesce("next", "attempt").alias("attempt")), "pii-values")
+        before, fixed = fixed, staged(spark, fixed.join(losers.select("kind", "value", F.col("attempt").alias("next")), ["kind", "value"], "left").select("kind", "value", F.coalesce("next", "attempt").alias("attempt")), "pii-values")
+        discard(spark, before)
+        left = losers
+    raise ValueError(f"{left.count()} values have no surrogate of their own after {rounds} rounds")
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, *, key: str = "corpus", broadcast_rows: int = 20_000) -> DataFrame:
     """``docs`` with the replaced text and, as a last column, n_entities. ``broadcast_rows``: up to so many re-keyed entities are broadcast; more are joined."""
-    own = list(docs.columns)
+    order = list(docs.columns)
+    docs, back = apart(docs, ["n_entities"], ["doc_id", "text"])
     pairs = detected(docs)
     again = collisions(spark, pairs.select("kind", "value").distinct(), key)
-    frame = docs.withColumn("__found", F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(0)))
+    frame = docs.withColumn("found", F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(0)))
     rekeyed = None
     if not again.isEmpty():
-        many = pairs.join(again, ["kind", "value"]).select("doc_id", "value", "attempt").distinct()
-        per_doc = many.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("__again"))
-        per_doc = staged(spark, per_doc.withColumnRenamed("doc_id", "__id"), "pii-again")
-        if per_doc.count() <= broadcast_rows:
-            per_doc = F.broadcast(per_doc)
-        frame = frame.join(per_doc, frame["doc_id"].eqNullSafe(per_doc["__id"]), "left")
-        rekeyed = F.col("__again")
+        many = pairs.join(again, ["kind", "value"]).select("doc_id", "text_key", "value", "attempt").distinct()
+        per_text = many.groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("again"))
+        per_text = staged(spark, per_text.select(F.col("doc_id").alias("id"), "text_key", "again"), "pii-again")
+        if per_text.count() <= broadcast_rows:
+            per_text = F.broadcast(per_text)
+        frame = frame.join(per_text, frame["doc_id"].eqNullSafe(per_text["id"]) & (F.xxhash64(frame["text"]) == per_text["text_key"]), "left")
+        rekeyed = F.col("again")
     attempt = lambda v: F.lit(0) if rekeyed is None else F.coalesce(F.element_at(rekeyed, v), F.lit(0))
-    made = F.transform("__found", lambda v: surrogate(kind_of(v), v, attempt(v), key))
+    made = F.transform("found", lambda v: surrogate(kind_of(v), v, attempt(v), key))
     pieces = F.split("text", ANY)
     joined = F.array_join(F.zip_with(pieces, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    text = F.when(F.size("__found") > 0, joined).otherwise(F.col("text"))
-    return frame.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in own], F.coalesce(F.when(F.col("text").isNotNull(), F.size("__found")), F.lit(0)).alias("n_entities"))
+    text = F.when(F.size("found") > 0, joined).otherwise(F.col("text"))
+    names = [c for c in order if c.lower() != "n_entities"]
+    out = [text.alias(c) if c.lower() == "text" else column for c, column in zip(names, back)]
+    return frame.select(*out, F.coalesce(F.when(F.col("text").isNotNull(), F.size("found")), F.lit(0)).alias("n_entities"))
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
