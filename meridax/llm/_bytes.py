@@ -8,14 +8,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
-if sys.platform == "linux":
-    # workers give large arrays back to the system at once: fixed limits for mapping and trimming
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "mallopt"):
-        libc.mallopt(-3, 1 << 20)
-        libc.mallopt(-1, 1 << 22)
-    pa.set_memory_pool(pa.system_memory_pool())
+
+def _give_back() -> None:
+    """In a worker: large arrays go back to the system at once, by fixed limits for mapping and trimming. The driver's allocator stays as it is."""
+    if sys.platform == "linux" and TaskContext.get() is not None and not _given:
+        _given.append(True)
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)
+            libc.mallopt(-1, 1 << 22)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_given: list[bool] = []
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -110,6 +117,7 @@ def longs(column: pa.Array, null: int = np.iinfo(np.int64).max) -> np.ndarray:
 
 def portions(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of ``column``, or of one row."""
+    _give_back()
     for batch in batches:
         _, at = utf8(batch.column(batch.schema.get_field_index(column)))
         i, n = 0, batch.num_rows
