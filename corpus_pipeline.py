@@ -46,7 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(spark, docs, tokenizer_path("word_bpe_49k.json"))
+    return packed(spark, docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
