@@ -160,6 +160,7 @@ def collisions(spark: SparkSession, values: DataFrame, key: str, rounds: int = 4
     Each round keys only the losers of the one before. If ``rounds`` aren't enough, ValueError tells how many are left.
     """
     fixed = staged(spark, values.select("kind", "value", F.lit(0).alias("attempt")), "pii-values")
+    left = fixed
     for _ in range(rounds):
         made = fixed.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
         taken = made.select("kind", F.col("value").alias("made"), F.lit(1).alias("original"), F.lit(None).cast("string").alias("value"))
