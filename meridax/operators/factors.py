@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridax.functions.series import by_date, by_time, filled, lag_return, last_rows, rolling, winsorized, zscore
+from meridax.functions.series import back_filled, by_date, by_time, filled, lag_return, last_rows, rolling, winsorized, zscore
 
 
 def forward_returns(grid: DataFrame, horizon: int = 21) -> DataFrame:
@@ -41,11 +41,20 @@ def quality(grid: DataFrame, vol: int = 21, peak: int = 126) -> DataFrame:
 
 
 def mix(scores: DataFrame, *, alpha: float = 0.6, beta: float = 0.3, gamma: float = 0.1, delta: float = 0.0, gain: float = 1.0, mode: str = "tanh") -> DataFrame:
-    """(date, asset, regime, momentum, quality[, periphery]) to a score that leans on momentum as the regime rises, winsorised per date."""
+    """(date, asset, regime, momentum, quality[, periphery]) to a score that leans on momentum as the regime rises, winsorised per date.
+
+    Scores are carried forward over the dates that all inputs share; dates on which one of them is null for all assets go.
+    The regime is carried forward, then backward. An unknown ``mode`` counts as tanh.
+    """
     if not alpha > beta >= gamma:
         raise ValueError("weights must satisfy alpha > beta >= gamma")
+    carried = [c for c in ("momentum", "quality", "periphery") if c in scores.columns]
+    scores = scores.withColumns({c: filled(F.col(c)) for c in carried}).withColumn("regime", F.coalesce(filled(F.col("regime")), back_filled(F.col("regime"))))
+    held = scores.withColumns({f"__n_{c}": F.count(c).over(by_date()) for c in carried})
+    scores = held.where(" and ".join(f"__n_{c} > 0" for c in carried) + " and regime is not null")
     r = F.least(F.greatest(F.col("regime"), F.lit(0.0)), F.lit(1.0))
-    level = {"tanh": 0.5 * (1 + F.tanh(gain * 2 * (r - 0.5))), "power": F.pow(r, F.lit(max(1e-6, gain))), "linear": r}[mode]
+    level = {"tanh": 0.5 * (1 + F.tanh(gain * 2 * (r - 0.5))), "power": F.pow(r, F.lit(max(1e-6, gain))), "linear": r}
+    level = level.get(mode, level["tanh"])
     periphery = delta * F.coalesce("periphery", F.lit(0.0)) if "periphery" in scores.columns else F.lit(0.0)
     raw = scores.withColumn("raw", alpha * level * F.col("momentum") + (beta * level + gamma * (1 - level)) * F.col("quality") + periphery)
     return raw.select("date", "asset", winsorized(F.col("raw")).alias("score"))

@@ -1,4 +1,4 @@
-"""Dense kernels on one date's assets: components, minimum spanning tree, hierarchical weights, tilt."""
+"""Dense kernels on one date's assets: components, spanning tree and its order, hierarchical weights, tilt."""
 
 from __future__ import annotations
 
@@ -28,30 +28,38 @@ def square(cov: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return list(wide.index), wide.to_numpy()
 
 
-def spanning_tree(cov: pd.DataFrame) -> pd.DataFrame:
-    """Minimum spanning tree of correlation distances (Prim): date, src, dst, weight."""
-    names, c = square(cov)
-    dev = np.sqrt(np.diag(c))
-    dist = np.sqrt(np.clip(0.5 * (1 - c / np.outer(dev, dev)), 0, None))
-    best, parent, left, out = dist[0].copy(), np.zeros(len(names), int), set(range(1, len(names))), []
+def distances(cov: np.ndarray) -> np.ndarray:
+    """Correlation distances, between 0 and 1."""
+    dev = np.sqrt(np.diag(cov))
+    return np.sqrt(np.clip(0.5 * (1 - cov / np.outer(dev, dev)), 0, None))
+
+
+def tree_of(dist: np.ndarray) -> list[tuple[int, int, float]]:
+    """Minimum spanning tree by Prim's method: (from, to, distance), in the order in which nodes join."""
+    best, parent, left, out = dist[0].copy(), np.zeros(len(dist), int), set(range(1, len(dist))), []
     while left:
         j = min(left, key=lambda k: (best[k], k))
         left.discard(j)
-        out.append((cov["date"].iloc[0], names[parent[j]], names[j], float(best[j])))
+        out.append((int(parent[j]), j, float(best[j])))
         closer = dist[j] < best
         parent[closer], best[closer] = j, dist[j][closer]
-    return pd.DataFrame(out, columns=["date", "src", "dst", "weight"])
+    return out
 
 
-def seriation(cov: pd.DataFrame) -> list[str]:
-    """Depth-first order of the spanning tree from the asset of largest variance; nearer branches first."""
+def spanning_tree(cov: pd.DataFrame) -> pd.DataFrame:
+    """Minimum spanning tree of correlation distances: date, src, dst, weight."""
     names, c = square(cov)
-    tree = spanning_tree(cov)
-    near: dict[str, list[tuple[float, str]]] = {n: [] for n in names}
-    for a, b, w in tree[["src", "dst", "weight"]].itertuples(index=False):
+    return pd.DataFrame([(cov["date"].iloc[0], names[i], names[j], w) for i, j, w in tree_of(distances(c))], columns=["date", "src", "dst", "weight"])
+
+
+def seriated(cov: np.ndarray, guide: np.ndarray | None = None) -> list[int]:
+    """Depth-first order of the spanning tree from the asset of largest variance, or of largest ``guide`` (a centrality); nearer branches first."""
+    near: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(cov))}
+    for a, b, w in tree_of(distances(cov)):
         near[a].append((w, b))
         near[b].append((w, a))
-    stack, seen = [names[int(np.argmax(np.diag(c)))]], []
+    start = np.diag(cov) if guide is None or not np.isfinite(guide).any() else np.where(np.isfinite(guide), guide, -np.inf)
+    stack, seen = [int(np.argmax(start))], []
     while stack:
         a = stack.pop()
         if a not in seen:
@@ -60,24 +68,26 @@ def seriation(cov: pd.DataFrame) -> list[str]:
     return seen
 
 
-def hierarchical_weights(cov: pd.DataFrame) -> pd.DataFrame:
-    """Recursive bisection along the seriation: halves share weight inversely to their equally weighted variance."""
-    names, c = square(cov)
-    index = {n: i for i, n in enumerate(names)}
-    order = [index[n] for n in seriation(cov)]
-    weight = np.ones(len(names))
-    todo = [order]
+def bisected(cov: np.ndarray, order: list[int]) -> np.ndarray:
+    """Recursive bisection along an order: halves share weight inversely to their equally weighted variance."""
+    weight, todo = np.ones(len(cov)), [order]
     while todo:
         part = todo.pop()
         if len(part) < 2:
             continue
         left, right = part[: len(part) // 2], part[len(part) // 2 :]
-        vl, vr = (c[np.ix_(p, p)].mean() for p in (left, right))
+        vl, vr = (cov[np.ix_(p, p)].mean() for p in (left, right))
         share = 1 - vl / (vl + vr) if vl + vr > 0 else 0.5
         weight[left] *= share
         weight[right] *= 1 - share
         todo += [left, right]
-    return pd.DataFrame({"date": cov["date"].iloc[0], "asset": names, "weight": weight / weight.sum()})
+    return weight / weight.sum()
+
+
+def hierarchical_weights(cov: pd.DataFrame) -> pd.DataFrame:
+    """Weights of one date by recursive bisection along the tree's order: date, asset, weight."""
+    names, c = square(cov)
+    return pd.DataFrame({"date": cov["date"].iloc[0], "asset": names, "weight": bisected(c, seriated(c))})
 
 
 def tilted(base: np.ndarray, mu: np.ndarray, cov: np.ndarray, *, max_tilt: float = 0.2, risk_aversion: float = 1.0) -> np.ndarray:

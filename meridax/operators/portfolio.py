@@ -89,10 +89,15 @@ def inverse_risk(weights: DataFrame) -> DataFrame:
     return weights.withColumn("raw", raw).select("date", "asset", F.try_divide("raw", F.sum(F.abs("raw")).over(by_date())).alias("weight"))
 
 
-def capped(weights: DataFrame, cap: float) -> DataFrame:
-    """Clip to the cap, spread what is cut equally over the others, then scale to a sum of 1 (caps may be exceeded by that)."""
-    clipped = weights.withColumn("c", F.least("weight", F.lit(cap))).withColumn("free", (F.col("weight") < cap).cast("int"))
-    rest = F.greatest(F.lit(0.0), 1 - F.sum("c").over(by_date()))
+def capped(weights: DataFrame, cap: float, cluster_cap: float | None = None) -> DataFrame:
+    """(date, asset, weight[, cluster]): clip to the cap on both sides, scale clusters above theirs, spread what is missing
+    or over equally on the assets below the cap, then scale to a sum of 1 (caps may be exceeded by that)."""
+    clipped = weights.withColumn("c", F.least(F.greatest("weight", F.lit(-cap)), F.lit(cap)))
+    if cluster_cap is not None:
+        held = F.abs(F.sum("c").over(Window.partitionBy("date", "cluster")))
+        clipped = clipped.withColumn("c", F.when(F.col("cluster").isNotNull() & (held > cluster_cap), F.col("c") * cluster_cap / held).otherwise(F.col("c")))
+    clipped = clipped.withColumn("free", (F.abs("c") < cap).cast("int"))
+    rest = 1 - F.sum("c").over(by_date())
     spread = clipped.withColumn("c", F.col("c") + F.when((F.col("free") == 1), F.try_divide(rest, F.sum("free").over(by_date()))).otherwise(0.0))
     return spread.select("date", "asset", F.try_divide("c", F.sum("c").over(by_date())).alias("weight"))
 
@@ -116,6 +121,16 @@ def drawdowns(curve: DataFrame) -> DataFrame:
     return curve.withColumn("dd", F.col("equity") / F.max("equity").over(by_time().rowsBetween(Window.unboundedPreceding, 0)) - 1)
 
 
+def window_curves(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, date, ret) with each window's own equity and drawdown: growth and peak begin anew in every window."""
+    by = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    # a return of -100 % or less has no logarithm: from there on the equity is 0
+    grown = F.exp(F.sum(F.when(F.col("ret") > -1, F.log1p("ret")).otherwise(0.0)).over(by))
+    lost = F.max((F.col("ret") <= -1).cast("int")).over(by) == 1
+    curve = returns.withColumn("equity", F.when(lost, 0.0).otherwise(grown))
+    return curve.withColumn("dd", F.col("equity") / F.max("equity").over(by) - 1)
+
+
 def kpis(returns: DataFrame, keys: list[str], periods: int = 252) -> DataFrame:
     """(keys, date, ret, equity): performance by group. The span counts rows, not steps."""
     first, last, n = F.min_by("equity", "date"), F.max_by("equity", "date"), F.count("*")

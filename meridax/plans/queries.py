@@ -192,7 +192,8 @@ for _mode, _level in _LEVELS.items():
 
     @query(
         f"mix_{_mode}",
-        f""", {_MOM}, {_QUAL}, {_REG}, raws as (select m.date, m.asset, 0.6 * {_level} * momentum + (0.3 * {_level} + 0.1 * (1 - {_level})) * quality as raw from mmom m join mqual q on m.date = q.date and m.asset = q.asset join regime r on r.date = m.date)
+        f""", {_MOM}, {_QUAL}, {_REG}, js as (select m.date, m.asset, regime, last_value(momentum ignore nulls) over w as momentum, last_value(quality ignore nulls) over w as quality from mmom m join mqual q on m.date = q.date and m.asset = q.asset join regime r on r.date = m.date window w as (partition by m.asset order by m.date rows between unbounded preceding and current row))
+ , raws as (select date, asset, 0.6 * {_level} * momentum + (0.3 * {_level} + 0.1 * (1 - {_level})) * quality as raw from js qualify count(momentum) over (partition by date) > 0 and count(quality) over (partition by date) > 0)
  , q as (select date, quantile_cont(raw, 0.05) as lo, quantile_cont(raw, 0.95) as hi from raws group by date)
  select r.date, asset, case when raw is not null then round(least(greatest(raw, lo), hi), 6) end as score from raws r join q on q.date = r.date""",
     )
@@ -232,7 +233,7 @@ def inv_atr_weights(s, d):
     return _inverse(s, d)
 
 
-@query("caps_applied", f", {_ATR}, c as (select *, least(weight, 0.045) as c, cast(weight < 0.045 as int) as free from invw where weight is not null), r as (select *, c + case when free = 1 then greatest(0, 1 - sum(c) over (partition by date)) / nullif(sum(free) over (partition by date), 0) else 0 end as c2 from c) select date, asset, round(c2 / nullif(sum(c2) over (partition by date), 0), 6) as weight from r")
+@query("caps_applied", f", {_ATR}, c as (select *, greatest(least(weight, 0.045), -0.045) as c, cast(abs(greatest(least(weight, 0.045), -0.045)) < 0.045 as int) as free from invw where weight is not null), r as (select *, c + case when free = 1 then (1 - sum(c) over (partition by date)) / nullif(sum(free) over (partition by date), 0) else 0 end as c2 from c) select date, asset, round(c2 / nullif(sum(c2) over (partition by date), 0), 6) as weight from r")
 def caps_applied(s, d):
     return portfolio.capped(_inverse(s, d).where("weight is not null"), 0.045)
 
@@ -302,11 +303,13 @@ def corr_distance_quantile(s, d, ends=YEARLY):
     return pairs.withColumn("dist", dist).groupBy("date").agg(F.percentile("dist", F.lit(0.25)).alias("eps"), F.avg("dist").alias("mean_dist"))
 
 
-_SCHED = "sched as (select distinct cast(date_trunc('month', date) + interval '1 month' - interval '1 day' as date) as rebalance_date from daily)"
+_SCHED = "sched as (select * from (select distinct cast(date_trunc('month', date) + interval '1 month' - interval '1 day' as date) as rebalance_date from daily) where rebalance_date <= (select max(date) from daily))"
 
 
 def _schedule(s, d):
-    return P.daily(s, d).select(F.last_day("date").alias("rebalance_date")).distinct()
+    """Month ends up to the last date of the panel: an unfinished month has none."""
+    days = P.daily(s, d).groupBy(F.last_day("date").alias("rebalance_date")).agg(F.max("date").alias("last"))
+    return days.withColumn("last", F.max("last").over(Window.partitionBy())).where("rebalance_date <= last").select("rebalance_date")  # a row per month
 
 
 @query("asof_trade_date", f", {_SCHED} select rebalance_date, (select max(date) from daily where date <= rebalance_date) as trade_date from sched")
@@ -379,9 +382,15 @@ def kpis_basic(s, d):
     return portfolio.kpis(equal_weight(s, d), ["asset"])
 
 
-@query("kpis_by_year", f", {_EQ} select cast(year(date) as integer) as year, {_KPI} from dds group by 1")
+def _windowed(key: str, source: str) -> str:
+    """Growth and peak of each window for itself."""
+    return f"wc as (select {key} as w, date, ret, exp(sum(ln(1 + ret)) over (partition by {key} order by date)) as equity from {source}), wd as (select *, equity / max(equity) over (partition by w order by date rows between unbounded preceding and current row) - 1 as dd from wc)"
+
+
+@query("kpis_by_year", f", {_EQ}, {_windowed('year(date)', 'eq')} select cast(w as integer) as year, {_KPI} from wd group by 1")
 def kpis_by_year(s, d):
-    return portfolio.kpis(equal_weight(s, d).withColumn("year", F.year("date")), ["year"])
+    own = equal_weight(s, d).select("date", "ret", F.year("date").alias("year"))
+    return portfolio.kpis(portfolio.window_curves(own, ["year"]), ["year"])
 
 
 @query("time_under_water", ", c as (select date, asset, p as equity from mfill where p is not null), f as (select *, cast(equity / max(equity) over (partition by asset order by date rows between unbounded preceding and current row) - 1 < -1e-12 as int) as under from c), i as (select *, sum(1 - under) over (partition by asset order by date) as island from f), m as (select *, max(island) over (partition by asset) as newest from i), sp as (select asset, island, count(*) as n from m where under = 1 and island < newest group by 1, 2) select a.asset, round(coalesce(avg(n), 0), 6) as avg_tuw, cast(coalesce(max(n), 0) as bigint) as max_tuw from (select distinct asset from c) a left join sp on sp.asset = a.asset group by 1")
@@ -415,11 +424,25 @@ def purged_folds(s, d):
     return f.select("i").join(F.broadcast(b)).groupBy("fold").agg(F.count_if((F.col("i") < F.col("lo") - 2) | (F.col("i") > F.col("hi") + 2)).alias("train"), F.first("test").alias("test"))
 
 
-@query("walkforward_kpis", f", {_EQ}, n as (select *, row_number() over (order by date) - 1 as i from dds) select cast((i - 504) // 126 as bigint) as window_id, {_KPI} from n where i >= 504 and i < 504 + 126 * ((select count(*) - 504 from dds) // 126) group by 1")
-def walkforward_kpis(s, d):
+_OOS = "n as (select *, row_number() over (order by date) - 1 as i from eq), oos as (select *, (i - 504) // 126 as win from n where i >= 504 and i < 504 + 126 * ((select count(*) - 504 from eq) // 126))"
+
+
+def _out_of_sample(s, d) -> DataFrame:
     numbered = equal_weight(s, d).withColumn("i", (F.row_number().over(Window.orderBy("date")) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy()))
-    oos = numbered.where(F.expr("i >= 504 and i < 504 + 126 * ((n - 504) div 126)")).withColumn("window_id", F.expr("(i - 504) div 126"))
-    return portfolio.kpis(oos, ["window_id"])
+    return numbered.where(F.expr("i >= 504 and i < 504 + 126 * ((n - 504) div 126)")).select("date", "ret", F.expr("(i - 504) div 126").alias("window_id"))
+
+
+@query("walkforward_kpis", f", {_EQ}, {_OOS}, {_windowed('win', 'oos')} select cast(w as bigint) as window_id, {_KPI} from wd group by 1")
+def walkforward_kpis(s, d):
+    return portfolio.kpis(portfolio.window_curves(_out_of_sample(s, d), ["window_id"]), ["window_id"])
+
+
+@query("walkforward_combined", f", {_EQ}, {_OOS}, {_windowed('1', 'oos')} select {_KPI}, round((pow(arg_max(equity, date) / arg_min(equity, date), 252.0 / count(*)) - 1) / nullif(abs(min(dd)), 0), 4) as calmar, count(*) as days from wd")
+def walkforward_combined(s, d):
+    """All out-of-sample days as one curve."""
+    own = portfolio.window_curves(_out_of_sample(s, d).withColumn("all", F.lit(1)), ["all"])
+    k = portfolio.kpis(own, ["all"]).withColumn("calmar", F.round(F.try_divide("cagr", F.nullif(F.abs("mdd"), F.lit(0.0))), 4)).drop("all")
+    return k.crossJoin(own.agg(F.count("*").alias("days")))  # one row each
 
 
 @query("tercile_kpis", f", {_EQ}, {_REG}, m as (select cast(date_trunc('month', date) as date) as mo, ret from eq), j as (select z, ret from m join regime r on r.date = m.mo where z is not null), q as (select quantile_cont(z, 1.0 / 3) as a, quantile_cont(z, 2.0 / 3) as b from j) select case when z <= a then 'low' when z <= b then 'mid' else 'high' end as tercile, count(*) as days, round(avg(ret) * 252, 6) as ann_return, round(stddev_pop(ret) * sqrt(252), 6) as vol from j, q group by 1")
