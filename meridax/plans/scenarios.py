@@ -67,7 +67,7 @@ def sensitivity_matrix(s, d):
     scenarios = grid(target_vol=[0.08, 0.12, 0.16], turnover_cap=[0.1, 0.25, 0.5])
     cells = B.summary(B.windows(B.daily(panel(s, d), scenarios)))
     part = lambda k: F.regexp_extract("scenario", rf"{k}=([\d.]+)", 1)
-    return cells.select(part("target_vol").alias("target_vol"), part("turnover_cap").alias("cap"), "sharpe").groupBy("target_vol").pivot("cap", ["0.1", "0.25", "0.5"]).agg(F.first("sharpe"))
+    return cells.select(part("target_vol").alias("target_vol"), part("turnover_cap").alias("cap"), "sharpe").groupBy("target_vol").pivot("cap", ["0.1", "0.25", "0.5"]).agg(F.first("sharpe")).toDF("target_vol", "cap_10", "cap_25", "cap_50")
 
 
 @query("kill_switch_grid")

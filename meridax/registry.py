@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meridax.plans import basics, scenarios  # noqa: F401  they register their queries
+from meridax.plans import basics, learning, scenarios, shapes  # noqa: F401  they register their queries
 from meridax.plans.queries import ORACLES, QUERIES, flagship
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridax.sources.store import sources
+
 PANEL = {"date": "date", "asset": "string", "close": "double", "volume": "double"}
 
 
@@ -26,7 +28,8 @@ def clean(panel: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """All CSV files of a folder; column names in any case; ``asset`` defaults to the file's stem."""
+    """All CSV files of a folder; column names in any case; ``asset`` defaults to the file's stem. No file is an error."""
+    sources(spark, path if "*" in path or path.endswith(".csv") else f"{path.rstrip('/')}/*.csv")
     raw = spark.read.option("header", True).csv(path)
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
     for c in ("date", "close", "volume"):
@@ -41,11 +44,27 @@ def read_csv(spark: SparkSession, path: str, start: str | None = None, end: str
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
-    """(date, rate) from a semicolon file with one line before the header, dd/mm/yyyy dates and decimal commas; the factor less 1 is the daily rate."""
-    raw = spark.read.option("sep", ";").option("encoding", "ISO-8859-1").csv(path).toDF("d", "v")
-    day = F.expr("try_to_timestamp(d, 'dd/MM/yyyy')").cast("date")
-    value = F.expr("try_cast(replace(replace(v, '.', ''), ',', '.') as double)")
-    return raw.select(day.alias("date"), (value - 1).alias("rate")).where("date is not null and rate is not null")
+    """(date, rate) from a semicolon file with lines before the header, dd/mm/yyyy dates and decimal commas: the first
+    column that begins with a date, and the last with a number. The factor less 1 is the daily rate."""
+    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
+    cells = F.split("value", ";")
+    day = F.expr("try_to_timestamp(trim(cells[0]), 'dd/MM/yyyy')").cast("date")
+    number = F.element_at(F.filter("cells", lambda x: F.trim(x).rlike(r"^[\d.]*\d(,\d+)?$")), -1)
+    value = F.regexp_replace(F.regexp_replace(number, r"\.", ""), ",", ".").try_cast("double")
+    return lines.select(cells.alias("cells")).where("size(cells) > 1").select(day.alias("date"), (value - 1).alias("rate")).where("date is not null and rate is not null")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(date, close, rebased) of a benchmark file with columns date and close, in any case and order; rebased to 1 at its first close."""
+    from pyspark.sql import Window
+
+    sources(spark, path)
+    raw = spark.read.option("header", True).csv(path)
+    raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
+    if missing := {"date", "close"} - set(raw.columns):
+        raise ValueError(f"no column {', '.join(sorted(missing))}")
+    known = raw.select(F.expr("try_cast(date as date)").alias("date"), F.expr("try_cast(close as double)").alias("close")).where("date is not null and close > 0").dropDuplicates(["date"])
+    return known.withColumn("rebased", F.col("close") / F.first("close").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))  # a row per date
 
 
 def daily(spark: SparkSession, sf_dir: str, bucket: str = "day") -> DataFrame:
@@ -70,8 +89,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid(panel: DataFrame) -> DataFrame:
     """The dense grid of dates and assets: rows that the panel lacks have nulls. Dates and assets, not rows, are crossed.
 
-    Dates and assets are taken from the same columns of the panel as the rows, so that its last shuffle is made once and read thrice.
+    Dates and assets are taken from the same columns and rows of the panel as its values, so that its last shuffle is made
+    once and read thrice. Rows without a date or an asset have no place in it.
     """
+    panel = panel.where("date is not null and asset is not null")
     used = F.sum(F.hash(*[c for c in panel.columns if c not in ("date", "asset")]).cast("long"))
     keys = lambda k: panel.groupBy(k).agg(used.alias("used")).where("used is not null").select(k)
     return keys("date").crossJoin(F.broadcast(keys("asset"))).join(panel, ["date", "asset"], "left")
