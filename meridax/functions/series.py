@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +59,12 @@ def softmax(x: Column, temperature: float = 1.0) -> Column:
 
 
 def ewm(x: Column, span: int, window) -> Column:
-    """Exponential mean, weights not adjusted, over the ordered values up to each row; nulls before the first value are skipped."""
+    """Exponential mean, weights not adjusted, over the ordered values up to each row; nulls are skipped.
+
+    Rows so far back that their weight is below the precision of a double (e to the -40th) are left out, so a row's work is bounded.
+    """
     alpha = 2.0 / (span + 1)
-    past = F.collect_list(x).over((window or by_time()).rowsBetween(Window.unboundedPreceding, 0))
+    past = F.collect_list(x).over((window or by_time()).rowsBetween(-math.ceil(40 / alpha), 0))
     return F.aggregate(past, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(a * (1 - alpha) + v * alpha))
 
 

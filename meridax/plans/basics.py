@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridax.functions.series import by_date, by_time, erf, filled
+from meridax.functions.series import erf
 from meridax.operators import factors, portfolio
-from meridax.plans.queries import _EQ, _MOM, _QUAL, _REG, _cov, _monthly, _near, _daily, equal_weight, query, regime_frame, EVERY_MONTH, _EDGE, YEARLY
+from meridax.plans.queries import _EQ, _MOM, _QUAL, _REG, _EDGE, _daily, _monthly, equal_weight, query, regime_frame
 from meridax.sources import panel as P
 
-_EDGE_ALL = _EDGE.replace(YEARLY, EVERY_MONTH)
-
 
 def _events(s, d, kind: str, name: str) -> DataFrame:
     return P.table(s, d, "events").where(F.col("event_type") == kind).groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias(name))
@@ -35,12 +33,12 @@ def asof_atr(s, d):
     return line.withColumn("atr", last).where("turn = 1 and atr is not null").select(F.col("at").alias("day"), "asset", "atr")
 
 
-@query("members_join", f", {_EDGE_ALL}, c as (select date, asset, min(root) as component from (with recursive r(date, asset, root) as (select date, k, k from v union select r.date, n.asset_j, r.root from r join near n on n.date = r.date and n.asset_i = r.asset) select * from r) group by 1, 2), nodes as (select date, component, list(asset order by asset) as members from c group by 1, 2) select n.date, component, len(members) as size, round(avg(m.close), 6) as mean_close from nodes n join monthly m on m.date = n.date and list_contains(members, m.asset) group by 1, 2, 3")
+@query("members_join", f", {_EDGE}, c as (select date, asset, min(root) as component from (with recursive r(date, asset, root) as (select date, k, k from v union select r.date, n.asset_j, r.root from r join near n on n.date = r.date and n.asset_i = r.asset) select * from r) group by 1, 2), nodes as (select date, component, list(asset order by asset) as members from c group by 1, 2) select n.date, component, len(members) as size, round(avg(m.close), 6) as mean_close from nodes n join monthly m on m.date = n.date and list_contains(members, m.asset) group by 1, 2, 3")
 def members_join(s, d):
     """Nodes with arrays of members, joined to the panel by membership: exploded to an equi-join."""
     from meridax.plans.queries import components
 
-    nodes = components(s, d, EVERY_MONTH).groupBy("date", "component").agg(F.sort_array(F.collect_list("asset")).alias("members"))
+    nodes = components(s, d).groupBy("date", "component").agg(F.sort_array(F.collect_list("asset")).alias("members"))
     rows = nodes.select("date", "component", F.size("members").cast("long").alias("size"), F.explode("members").alias("asset"))
     return rows.join(P.monthly(s, d), ["date", "asset"]).groupBy("date", "component", "size").agg(F.avg("close").alias("mean_close"))
 

@@ -250,24 +250,24 @@ def turnover_daily(s, d):
     return w.groupBy("date").agg((F.sum(F.coalesce(F.abs(F.col("weight") - F.col("prev")), F.lit(0.0))) / 2).alias("turnover"))
 
 
-_ENDS = "ends as (select date as de, t as te from (select date, row_number() over (order by date) as t from (select distinct date from mgrid)) where t % 12 = 0)"
+_ENDS = "ends as (select date as de, t as te from (select date, row_number() over (order by date) as t from (select distinct date from mgrid)) where t >= 12)"
 _COV = f"""{_ENDS}, cal as (select date, row_number() over (order by date) as t from (select distinct date from mgrid)), slices as (select de, date from ends join cal on t <= te and t > te - 12),
 srows as (select de, s.date, asset, ret from slices s join mpad m on m.date = s.date where ret is not null), full_ as (select * from (select *, count(*) over (partition by de, asset) as n from srows) where n = 12),
 cov as (select a.de as date, a.asset as asset_i, b.asset as asset_j, covar_samp(a.ret, b.ret) as cov from full_ a join full_ b on a.de = b.de and a.date = b.date group by 1, 2, 3)"""
 
 
-YEARLY, EVERY_MONTH = "t % 12 = 0", "t >= 12"  # of months numbered by t from 1; no window of 12 is full before
+EVERY_MONTH = "t >= 12"  # of months numbered by t from 1: each that has a full window of 12
 
 
-def _cov(s, d, ends=YEARLY):
+def _cov(s, d):
     g = _monthly(s, d)
-    every = g.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date"))).where(ends).select("date")
+    every = g.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date"))).where(EVERY_MONTH).select("date")
     return portfolio.rolling_cov(factors.padded_returns(g), 12, every)
 
 
 @query("rolling_cov_pairs", f", {_COV} select date, asset_i, asset_j, round(cov, 8) as cov from cov")
-def rolling_cov_pairs(s, d, ends=YEARLY):
-    return _cov(s, d, ends)
+def rolling_cov_pairs(s, d):
+    return _cov(s, d)
 
 
 QUERIES["rolling_cov_pairs"] = lambda s, d: _round(_cov(s, d), 8)
@@ -295,8 +295,8 @@ QUERIES["ewma_cov"] = lambda s, d: _round(ewma_cov(s, d), 8)
 
 
 @query("corr_distance_quantile", f", {_COV}, v as (select date, asset_i as k, cov as var from cov where asset_i = asset_j), x as (select c.date, sqrt(greatest(0, 0.5 * (1 - c.cov / sqrt(a.var * b.var)))) as dist from cov c join v a on a.date = c.date and a.k = asset_i join v b on b.date = c.date and b.k = asset_j where asset_i < asset_j) select date, round(quantile_cont(dist, 0.25), 6) as eps, round(avg(dist), 6) as mean_dist from x group by date")
-def corr_distance_quantile(s, d, ends=YEARLY):
-    cov = _cov(s, d, ends)
+def corr_distance_quantile(s, d):
+    cov = _cov(s, d)
     v = cov.where("asset_i = asset_j").select("date", F.col("asset_i").alias("k"), F.col("cov").alias("var"))
     pairs = cov.where("asset_i < asset_j").join(v.select("date", F.col("k").alias("asset_i"), F.col("var").alias("vi")), ["date", "asset_i"]).join(v.select("date", F.col("k").alias("asset_j"), F.col("var").alias("vj")), ["date", "asset_j"])
     dist = F.sqrt(F.greatest(F.lit(0.0), 0.5 * (1 - F.col("cov") / F.sqrt(F.col("vi") * F.col("vj")))))
@@ -501,29 +501,24 @@ def _near(cov):
 
 
 @query("node_degree", f", {_EDGE} select v.date, v.k as asset, round(coalesce(cast(n as double), 0) / nullif(count(*) over (partition by v.date) - 1, 0), 6) as degree from v left join (select date, asset_i, count(*) as n from near group by 1, 2) e on e.date = v.date and e.asset_i = v.k")
-def node_degree(s, d, ends=YEARLY):
-    nodes = _cov(s, d, ends).where("asset_i = asset_j").select("date", F.col("asset_i").alias("asset"))
-    n = _near(_cov(s, d, ends)).groupBy("date", F.col("asset_i").alias("asset")).agg(F.count("*").alias("n"))
+def node_degree(s, d):
+    nodes = _cov(s, d).where("asset_i = asset_j").select("date", F.col("asset_i").alias("asset"))
+    n = _near(_cov(s, d)).groupBy("date", F.col("asset_i").alias("asset")).agg(F.count("*").alias("n"))
     return nodes.join(n, ["date", "asset"], "left").select("date", "asset", F.try_divide(F.coalesce(F.col("n"), F.lit(0)).cast("double"), F.count("*").over(by_date()) - 1).alias("degree"))
 
 
 @query("components", f", {_EDGE} select date, asset, min(root) as component from (with recursive r(date, asset, root) as (select date, k, k from v union select r.date, n.asset_j, r.root from r join near n on n.date = r.date and n.asset_i = r.asset) select * from r) group by 1, 2")
-def components(s, d, ends=YEARLY):
-    cov = _cov(s, d, ends).persist()  # a few hundred pairs per date, read four times
+def components(s, d):
+    cov = _cov(s, d).persist()  # a few hundred pairs per date, read four times
     edges = cov.where("asset_i = asset_j").select("date", "asset_i", "asset_j").unionByName(_near(cov))
     return edges.groupBy("date").applyInPandas(graphs.components_of, "date date, asset string, component string")  # a group holds one date's assets
 
 
-@query("pivot_matrix", "select date, round(sum(case when asset = 'Brand#11' then close end), 6) as \"Brand#11\", round(sum(case when asset = 'Brand#12' then close end), 6) as \"Brand#12\", round(sum(case when asset = 'Brand#13' then close end), 6) as \"Brand#13\" from monthly group by date")
-def pivot_matrix(s, d):
-    return P.monthly(s, d).groupBy("date").pivot("asset", ["Brand#11", "Brand#12", "Brand#13"]).agg(F.sum("close"))
-
-
 _BRANDS = [f"Brand#{i}" for i in range(1, 26)]  # all of the generated part table
 
 
-@query("pivot_all_assets", "select date, " + ", ".join(f"round(sum(case when asset = '{b}' then close end), 9) as \"{b}\"" for b in _BRANDS) + " from monthly group by date", digits=9)  # at six, one value of sf0.001 is a tie
-def pivot_all_assets(s, d):
+@query("pivot_matrix", "select date, " + ", ".join(f"round(sum(case when asset = '{b}' then close end), 9) as \"{b}\"" for b in _BRANDS) + " from monthly group by date", digits=9)  # at six, one value of sf0.001 is a tie
+def pivot_matrix(s, d):
     """A column for each brand of the part table."""
     brands = [r[0] for r in P.table(s, d, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
     return P.monthly(s, d).groupBy("date").pivot("asset", brands).agg(F.sum("close"))
@@ -578,38 +573,29 @@ def regime_controls(s, d):
 
 
 @query("vol_scaled_weights", f", {_COV}, q as (select date, sum(cov) / pow(count(distinct asset_i), 2) as var, count(distinct asset_i) as n from cov group by date) select date, round(1.0 / n * 0.12 / (sqrt(var) * sqrt(12)), 6) as weight, n as assets from q")
-def vol_scaled_weights(s, d, ends=YEARLY):
-    q = _cov(s, d, ends).groupBy("date").agg(F.sum("cov").alias("total"), F.count_distinct("asset_i").alias("assets"))
+def vol_scaled_weights(s, d):
+    q = _cov(s, d).groupBy("date").agg(F.sum("cov").alias("total"), F.count_distinct("asset_i").alias("assets"))
     n = F.col("assets")
     return q.select("date", (1.0 / n * 0.12 / (F.sqrt(F.col("total") / F.pow(n, F.lit(2.0))) * F.sqrt(F.lit(12.0)))).alias("weight"), "assets")
 
 
 @query("asof_cov", f", {_COV} select m.date, (select max(c.date) from cov c where c.date <= m.date) as cov_date from (select distinct date from monthly) m")
-def asof_cov(s, d, ends=YEARLY):
-    have = _cov(s, d, ends).select("date").distinct().withColumn("cov_date", F.col("date"))
+def asof_cov(s, d):
+    have = _cov(s, d).select("date").distinct().withColumn("cov_date", F.col("date"))
     dates = P.monthly(s, d).select("date").distinct().join(have, "date", "left")
     return dates.select("date", F.last("cov_date", ignorenulls=True).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("cov_date"))
 
 
 @query("interval_windows", f", {_ENDS}, w as (select de, te from ends) select w.de as window_end, count(*) as n_rows, round(sum(m.volume), 6) as volume from w join monthly m on m.date <= w.de and m.date > w.de - interval '365 days' group by 1")
-def interval_windows(s, d, ends=YEARLY):
+def interval_windows(s, d):
     g = _monthly(s, d)
-    last = g.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date"))).where(ends).select(F.col("date").alias("window_end"))
+    last = g.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date"))).where(EVERY_MONTH).select(F.col("date").alias("window_end"))
     j = P.monthly(s, d).join(F.broadcast(last), (F.col("date") <= F.col("window_end")) & (F.col("date") > F.date_sub("window_end", 365)))
     return j.groupBy("window_end").agg(F.count("*").alias("n_rows"), F.sum("volume").alias("volume"))
 
 
-@query("risk_free_aligned", "with e as (select cast(ts as date) as date, avg(value) as v from events where event_type = 'purchase' group by 1), c as (select unnest(generate_series(date '2024-01-01', date '2024-01-31', interval 1 day))::date as date), b as (select date from c where isodow(date) <= 5), j as (select b.date, v from b left join e on e.date = b.date and day(b.date) % 3 = 1) select date, round(coalesce(last_value(v ignore nulls) over (order by date rows between unbounded preceding and current row), first_value(v ignore nulls) over (order by date rows between current row and unbounded following), 0), 4) as rate from j")
+@query("risk_free_aligned", "with e as (select cast(ts as date) as date, avg(value) as v from events where event_type = 'purchase' group by 1), c as (select unnest(generate_series((select min(date) from e), (select max(date) from e), interval 1 day))::date as date), j as (select c.date, v from c left join e on e.date = c.date where isodow(c.date) <= 5) select date, round(coalesce(last_value(v ignore nulls) over (order by date rows between unbounded preceding and current row), first_value(v ignore nulls) over (order by date rows between current row and unbounded following), 0), 4) as rate from j")
 def risk_free_aligned(s, d):
-    e = P.table(s, d, "events").where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("v")).where("day(date) % 3 = 1")
-    days = s.range(1).select(F.explode(F.expr("sequence(date'2024-01-01', date'2024-01-31')")).alias("date")).where(F.dayofweek("date").between(2, 6))
-    by = Window.orderBy("date")
-    j = days.join(e, "date", "left")
-    return j.select("date", F.round(F.coalesce(filled(F.col("v"), by), back_filled(F.col("v"), by), F.lit(0.0)), 4).alias("rate"))
-
-
-@query("risk_free_all_days", "with e as (select cast(ts as date) as date, avg(value) as v from events where event_type = 'purchase' group by 1), c as (select unnest(generate_series((select min(date) from e), (select max(date) from e), interval 1 day))::date as date), j as (select c.date, v from c left join e on e.date = c.date where isodow(c.date) <= 5) select date, round(coalesce(last_value(v ignore nulls) over (order by date rows between unbounded preceding and current row), first_value(v ignore nulls) over (order by date rows between current row and unbounded following), 0), 4) as rate from j")
-def risk_free_all_days(s, d):
     """All observed rates on the business days between the first and the last of them. As in a reindex, a weekend's rate fills no later day."""
     e = P.table(s, d, "events").where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("v"))
     days = e.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date")).where(F.dayofweek("date").between(2, 6))
@@ -651,6 +637,16 @@ def stream_daily_events(s, d):
     return windows.drained(s, f"{d}/events.parquet", windows.daily_counts)
 
 
+@query("stream_user_sessions", "with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows between unbounded preceding and current row) as spell from e), g as (select user_id, min(ts) as a, max(ts) + interval 30 minute as b, count(*) as n from s group by user_id, spell) select user_id, cast(epoch_us(a) as bigint) as started, n from g where b <= (select max(ts) from events) - interval 1 hour")
+def stream_user_sessions(s, d):
+    return windows.drained(s, f"{d}/events.parquet", windows.user_sessions)
+
+
+@query("stream_first_sightings", "select event_type, count(*) as n from events group by 1")
+def stream_first_sightings(s, d):
+    return windows.drained(s, f"{d}/events.parquet", windows.first_sightings).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 # ---- kernels without SQL: resamples of one series, or one date's assets
 
 
@@ -665,29 +661,13 @@ def bootstrap_ci(s, d):
 
 
 @query("mst_edges")
-def mst_edges(s, d, ends=YEARLY):
-    return _cov(s, d, ends).groupBy("date").applyInPandas(graphs.spanning_tree, "date date, src string, dst string, weight double")
+def mst_edges(s, d):
+    return _cov(s, d).groupBy("date").applyInPandas(graphs.spanning_tree, "date date, src string, dst string, weight double")
 
 
 @query("hrp_weights")
-def hrp_weights(s, d, ends=YEARLY):
-    return _cov(s, d, ends).groupBy("date").applyInPandas(graphs.hierarchical_weights, "date date, asset string, weight double")
-
-
-# ---- the covariance queries, and those that inherit its dates, at every month with a full window
-
-
-def _every_month(name, function, digits=6):
-    QUERIES[f"{name}_every_month"] = lambda s, d: _round(function(s, d, EVERY_MONTH), digits)
-    if name in ORACLES:
-        ORACLES[f"{name}_every_month"] = ORACLES[name].replace(YEARLY, EVERY_MONTH)
-
-
-_every_month("rolling_cov_pairs", rolling_cov_pairs, 8)
-for _kind in _SHRINKS:
-    _every_month(f"shrink_{_kind}", lambda s, d, ends, kind=_kind: portfolio.shrunk(_cov(s, d, ends), kind, 0.2), 8)
-for _function in (corr_distance_quantile, node_degree, components, vol_scaled_weights, asof_cov, interval_windows, mst_edges, hrp_weights):
-    _every_month(_function.__name__, _function)
+def hrp_weights(s, d):
+    return _cov(s, d).groupBy("date").applyInPandas(graphs.hierarchical_weights, "date date, asset string, weight double")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,26 @@ def daily_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return agg.select(F.date_add(F.lit("1970-01-01").cast("date"), F.expr(f"cast(unix_micros(window.start) div {DAY} as int)")).alias("date"), "event_type", "n", "total")
 
 
+def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """(user_id, started, n): spells of a user's events less than ``gap`` apart; on a stream a spell is emitted once the watermark passes its end. ``started`` counts microseconds."""
+    at = F.expr("cast(concat(cast(cast(ts as timestamp_ntz) as string), 'Z') as timestamp)")
+    spells = events.select(at.alias("at"), "user_id").withWatermark("at", delay).groupBy("user_id", F.session_window("at", gap).alias("spell")).agg(F.count("*").alias("n"))
+    return spells.select("user_id", F.unix_micros("spell.start").alias("started"), "n")
+
+
+def first_sightings(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Each event once: repeated event_ids within the watermark go, and the state of older ones is dropped."""
+    at = F.expr("cast(concat(cast(cast(ts as timestamp_ntz) as string), 'Z') as timestamp)")
+    return events.withColumn("at", at).withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"]).drop("at")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (local mode) the warehouse."""
-    key = "spark.checkpoint.dir"
-    return (spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """``spark.checkpoint.dir``; only a session on one machine may leave it unset and uses the warehouse."""
+    key, context = "spark.checkpoint.dir", spark.sparkContext
+    path = spark.conf.get(key, None) or context.getConf().get(key, None)
+    if not path and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError(f"{key} must name a folder that the driver and all executors share")
+    return (path or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def drained(spark: SparkSession, path: str, transform, folder: str | None = None) -> DataFrame:
