@@ -304,8 +304,8 @@ def parts_of(link: np.ndarray) -> int:
 NODES = "date date, node int, members array<string>, size int, degree double, eigenvector double, betweenness double, peripherality double, lens_mean double, links array<int>, n_components int, avg_degree double, gini_size double"
 
 
-def mapper_nodes(returns: DataFrame, n: int, *, lens: str = "volatility", cubes: int = 10, overlap: float = 0.35, quantile: float = 0.25, least: int = 2) -> DataFrame:
-    """The nodes of each date's Mapper graph over its window, with centralities, links by node number and the graph's totals; ``returns`` may have a regime by date."""
+def mapper_nodes(returns: DataFrame, n: int, *, lens: str | dict[str, float] = "volatility", cubes: int = 10, overlap: float = 0.35, quantile: float = 0.25, least: int = 2) -> DataFrame:
+    """The nodes of each date's Mapper graph over its window, with centralities, links by node number and the graph's totals; ``returns`` may have a regime by date. A custom ``lens`` gives a number for each asset; those it lacks get the mean of the others."""
     rows = window_ends(returns, n)
     if "regime" in returns.columns:
         rows = rows.join(F.broadcast(returns.groupBy(F.col("date").alias("end")).agg(F.first("regime").alias("regime"))), "end")  # a row per date
@@ -320,7 +320,11 @@ def mapper_nodes(returns: DataFrame, n: int, *, lens: str = "volatility", cubes:
         dist = np.where(np.isfinite(dist), dist, 1.0)
         np.fill_diagonal(dist, 0.0)
         k, o = cover_of(frame["regime"].iloc[0], cubes, overlap)
-        values = lens_values(lens, x)
+        if isinstance(lens, dict):
+            known = np.array([lens.get(a, np.nan) for a in names], float)
+            values = np.where(np.isfinite(known), known, np.nanmean(known) if np.isfinite(known).any() else 0.0)
+        else:
+            values = lens_values(lens, x)
         nodes, link = mapper_graph(values, dist, cubes=k, overlap=o, eps=epsilon_of(dist, quantile), least=least)
         m = len(nodes)
         degree, eigen, through = link.sum(1) / max(1, m - 1), eigen_centrality(link), between_centrality(link)

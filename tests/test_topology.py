@@ -129,6 +129,9 @@ def test_mapper(spark):
     out = nodes.toPandas()
     assert sorted(out.date.unique()) == DAYS[57:60] and (out["size"] == out.members.map(len)).all() and (out.peripherality == 1 - out.degree).all()
     assert T.graph_json(nodes).count() == 3
+    own = T.mapper_nodes(spark.createDataFrame(rows, "date date, asset string, ret double, regime double"), 60, lens={"A0": 0.0, "A1": 0.0, "A2": 4.0}, cubes=2, overlap=0.1, least=1).collect()
+    low, high = ({m for r in own if (r.lens_mean < 1) == side for m in r.members} for side in (True, False))
+    assert low == {"A0", "A1", "A3"} - high | (low & {"A3"}) and "A2" in high and not {"A0", "A1"} & high
 
 
 def test_peripherality(spark):
