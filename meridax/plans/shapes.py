@@ -1,4 +1,4 @@
-"""Registered queries on topology and shrinkage: kernels per window, so without SQL; the tests hold them against plain code."""
+"""Registered queries on topology and shrinkage: kernels per window, most without SQL; the tests hold them against plain code."""
 
 from __future__ import annotations
 
@@ -77,6 +77,15 @@ def mix_periphery(s, d):
     return factors.mix(_scores(s, d).join(own, ["date", "asset"], "left"), delta=0.4)
 
 
-@query("ledoit_wolf", digits=8)
+_LW = """, lt as (select date, row_number() over (order by date) as t from (select distinct date from mpad where ret is not null)),
+ls as (select e.date as de, m.asset, m.ret, m.date from lt e join lt s on s.t <= e.t and s.t > e.t - 12 join mpad m on m.date = s.date where e.t >= 12 and m.ret is not null),
+lf as (select *, ret - avg(ret) over (partition by de, asset) as x from ls qualify count(*) over (partition by de, asset) = 12),
+lc as (select a.de as date, a.asset as asset_i, b.asset as asset_j, avg(a.x * b.x) as cov, avg(a.x * a.x * b.x * b.x) as quad from lf a join lf b on a.de = b.de and a.date = b.date group by 1, 2, 3),
+lm as (select date, count(distinct asset_i) as p, sum(case when asset_i = asset_j then cov end) / count(distinct asset_i) as mean, sum(cov * cov) as sq, sum(quad) as quad from lc group by 1),
+lh as (select date, mean, least((sq - p * mean * mean) / p, (quad - sq) / 12 / p) / ((sq - p * mean * mean) / p) as share from lm)
+select c.date, asset_i, asset_j, round((1 - share) * cov + case when asset_i = asset_j then share * mean else 0 end, 8) as cov, round(share, 8) as shrinkage from lc c join lh on lh.date = c.date"""
+
+
+@query("ledoit_wolf", _LW, digits=8)
 def ledoit_wolf(s, d):
     return topology.ledoit_wolf_pairs(_returns(s, d), WINDOW)
