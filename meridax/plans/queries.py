@@ -660,9 +660,15 @@ def bootstrap_ci(s, d):
     return resampling.bootstrap_intervals(equal_weight(s, d).select("asset", "date", "ret"))
 
 
-@query("mst_edges")
+# an edge belongs to the tree if no path of smaller edges joins its ends: five squarings of the least largest edge reach 32 steps
+_TREE = f"{_COV}, v as (select date, asset_i as k, cov as var from cov where asset_i = asset_j), b0 as (select c.date, asset_i as i, asset_j as j, sqrt(greatest(0, 0.5 * (1 - c.cov / sqrt(a.var * b.var)))) as d from cov c join v a on a.date = c.date and a.k = asset_i join v b on b.date = c.date and b.k = asset_j)" + "".join(f", b{k} as (select x.date, x.i, y.j, min(greatest(x.d, y.d)) as d from b{k - 1} x join b{k - 1} y on x.date = y.date and x.j = y.i group by 1, 2, 3)" for k in range(1, 6))
+
+
+@query("mst_edges", f", {_TREE} select e.date, e.i as src, e.j as dst, round(e.d, 6) as weight from b0 e join b5 on b5.date = e.date and b5.i = e.i and b5.j = e.j where e.i < e.j and e.d <= b5.d")
 def mst_edges(s, d):
-    return _cov(s, d).groupBy("date").applyInPandas(graphs.spanning_tree, "date date, src string, dst string, weight double")
+    """The edges of each month's tree, ends in order of name."""
+    edges = _cov(s, d).groupBy("date").applyInPandas(graphs.spanning_tree, "date date, src string, dst string, weight double")
+    return edges.select("date", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
 
 
 @query("hrp_weights")
