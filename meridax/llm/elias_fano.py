@@ -8,7 +8,7 @@ made. That takes about 2 + log2(u / n) bits a value.
 
 Shards are rows of a Parquet table (``part``, ``seq``, ``image``), which Spark writes and commits to any store.
 
-Null and empty text: only the end id. Null doc_ids come last. Rows with equal ids keep an order by text. Extra columns are
+Null and empty text: only the end id. Null doc_ids come last. Rows with equal ids are ordered by a hash of their text. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -149,8 +149,10 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id
         if ids:
             yield shard()
 
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(order[0]).sortWithinPartitions(*order)
+    # equal and null ids are ranged by a hash of the text, so that many of them spread too
+    order = [F.col("doc_id").asc_nulls_last(), F.col("spot")]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("spot", F.xxhash64("text"))
+    ranged = texts.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first()).select("doc_id", "text")
     return staged(spark, ranged.mapInArrow(pack, "part int, seq int, n_docs long, n_tokens long, image binary"), "token-shards")
 
 
