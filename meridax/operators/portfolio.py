@@ -45,6 +45,15 @@ def universe(hits: DataFrame, schedule: DataFrame, hysteresis: int = 2) -> DataF
     return grid.withColumn("event", event).withColumn("active", active).where("active = 1").select("rebalance_date", "asset")
 
 
+def _both_ways(triangle: DataFrame) -> DataFrame:
+    """A symmetric table from the pairs with asset_i <= asset_j."""
+    i, j = F.col("asset_i"), F.col("asset_j")
+    pair = lambda x, y: F.struct(x.alias("asset_i"), y.alias("asset_j"))
+    ways = F.when(i == j, F.array(pair(i, j))).otherwise(F.array(pair(i, j), pair(j, i)))
+    rest = [c for c in triangle.columns if c not in ("asset_i", "asset_j")]
+    return triangle.withColumn("way", F.explode(ways)).select(*[c for c in rest if c != "cov"], "way.asset_i", "way.asset_j", "cov")
+
+
 def rolling_cov(returns: DataFrame, n: int, dates: DataFrame) -> DataFrame:
     """Sample covariances (date, asset_i, asset_j) of the last n rows at ``dates``, of assets with all n values. Pairs are formed per target date only."""
     calendar = returns.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date")))
@@ -53,7 +62,7 @@ def rolling_cov(returns: DataFrame, n: int, dates: DataFrame) -> DataFrame:
     rows = slices.join(returns, "date").where("ret is not null")
     full = rows.withColumn("n", F.count("*").over(Window.partitionBy("end", "asset"))).where(F.col("n") == n)
     a, b = full.select("end", "date", F.col("asset").alias("asset_i"), F.col("ret").alias("x")), full.select("end", "date", F.col("asset").alias("asset_j"), F.col("ret").alias("y"))
-    return a.join(b, ["end", "date"]).groupBy(F.col("end").alias("date"), "asset_i", "asset_j").agg(F.covar_samp("x", "y").alias("cov"))
+    return _both_ways(a.join(b, ["end", "date"]).where("asset_i <= asset_j").groupBy(F.col("end").alias("date"), "asset_i", "asset_j").agg(F.covar_samp("x", "y").alias("cov")))
 
 
 def shrunk(cov: DataFrame, kind: str = "diagonal", strength: float = 0.1) -> DataFrame:
@@ -80,7 +89,7 @@ def ewma_cov(returns: DataFrame, decay: float) -> DataFrame:
     w = t.withColumn("w", F.pow(F.lit(decay), F.col("t"))).withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy()))
     rows = returns.join(w.select("date", "w"), "date").withColumn("d", F.col("ret") - F.sum(F.col("ret") * F.col("w")).over(Window.partitionBy("asset")))
     a, b = rows.select("date", "w", F.col("asset").alias("asset_i"), F.col("d").alias("x")), rows.select("date", F.col("asset").alias("asset_j"), F.col("d").alias("y"))
-    return a.join(b, "date").groupBy("asset_i", "asset_j").agg(F.sum(F.col("w") * F.col("x") * F.col("y")).alias("cov"))
+    return _both_ways(a.join(b, "date").where("asset_i <= asset_j").groupBy("asset_i", "asset_j").agg(F.sum(F.col("w") * F.col("x") * F.col("y")).alias("cov")))
 
 
 def inverse_risk(weights: DataFrame) -> DataFrame:

@@ -296,10 +296,8 @@ QUERIES["ewma_cov"] = lambda s, d: _round(ewma_cov(s, d), 8)
 
 @query("corr_distance_quantile", f", {_COV}, v as (select date, asset_i as k, cov as var from cov where asset_i = asset_j), x as (select c.date, sqrt(greatest(0, 0.5 * (1 - c.cov / sqrt(a.var * b.var)))) as dist from cov c join v a on a.date = c.date and a.k = asset_i join v b on b.date = c.date and b.k = asset_j where asset_i < asset_j) select date, round(quantile_cont(dist, 0.25), 6) as eps, round(avg(dist), 6) as mean_dist from x group by date")
 def corr_distance_quantile(s, d):
-    cov = _cov(s, d)
-    v = cov.where("asset_i = asset_j").select("date", F.col("asset_i").alias("k"), F.col("cov").alias("var"))
-    pairs = cov.where("asset_i < asset_j").join(v.select("date", F.col("k").alias("asset_i"), F.col("var").alias("vi")), ["date", "asset_i"]).join(v.select("date", F.col("k").alias("asset_j"), F.col("var").alias("vj")), ["date", "asset_j"])
-    dist = F.sqrt(F.greatest(F.lit(0.0), 0.5 * (1 - F.col("cov") / F.sqrt(F.col("vi") * F.col("vj")))))
+    pairs = _correlated(_cov(s, d)).where("asset_i < asset_j")
+    dist = F.sqrt(F.greatest(F.lit(0.0), 0.5 * (1 - F.col("corr"))))
     return pairs.withColumn("dist", dist).groupBy("date").agg(F.percentile("dist", F.lit(0.25)).alias("eps"), F.avg("dist").alias("mean_dist"))
 
 
@@ -494,23 +492,21 @@ def gini_sizes(s, d):
 _EDGE = f"{_COV}, v as (select date, asset_i as k, cov as var from cov where asset_i = asset_j), near as (select c.date, asset_i, asset_j from cov c join v a on a.date = c.date and a.k = asset_i join v b on b.date = c.date and b.k = asset_j where asset_i <> asset_j and c.cov / sqrt(a.var * b.var) > 0.3)"
 
 
-def _near(cov):
-    v = cov.where("asset_i = asset_j").select("date", F.col("asset_i").alias("k"), F.col("cov").alias("var"))
-    j = cov.where("asset_i != asset_j").join(v.select("date", F.col("k").alias("asset_i"), F.col("var").alias("vi")), ["date", "asset_i"]).join(v.select("date", F.col("k").alias("asset_j"), F.col("var").alias("vj")), ["date", "asset_j"])
-    return j.where("cov / sqrt(vi * vj) > 0.3").select("date", "asset_i", "asset_j")
+def _correlated(cov):
+    """Covariances with ``corr``: variances come from windows over the same rows, so the covariances are made once."""
+    variance = lambda k: F.max(F.when(F.col("asset_i") == F.col("asset_j"), F.col("cov"))).over(Window.partitionBy("date", k))
+    return cov.withColumn("corr", F.col("cov") / F.sqrt(variance("asset_i") * variance("asset_j")))
 
 
 @query("node_degree", f", {_EDGE} select v.date, v.k as asset, round(coalesce(cast(n as double), 0) / nullif(count(*) over (partition by v.date) - 1, 0), 6) as degree from v left join (select date, asset_i, count(*) as n from near group by 1, 2) e on e.date = v.date and e.asset_i = v.k")
 def node_degree(s, d):
-    nodes = _cov(s, d).where("asset_i = asset_j").select("date", F.col("asset_i").alias("asset"))
-    n = _near(_cov(s, d)).groupBy("date", F.col("asset_i").alias("asset")).agg(F.count("*").alias("n"))
-    return nodes.join(n, ["date", "asset"], "left").select("date", "asset", F.try_divide(F.coalesce(F.col("n"), F.lit(0)).cast("double"), F.count("*").over(by_date()) - 1).alias("degree"))
+    n = _correlated(_cov(s, d)).groupBy("date", F.col("asset_i").alias("asset")).agg(F.count_if((F.col("asset_i") != F.col("asset_j")) & (F.col("corr") > 0.3)).alias("n"))
+    return n.select("date", "asset", F.try_divide(F.col("n").cast("double"), F.count("*").over(by_date()) - 1).alias("degree"))
 
 
 @query("components", f", {_EDGE} select date, asset, min(root) as component from (with recursive r(date, asset, root) as (select date, k, k from v union select r.date, n.asset_j, r.root from r join near n on n.date = r.date and n.asset_i = r.asset) select * from r) group by 1, 2")
 def components(s, d):
-    cov = _cov(s, d).persist()  # a few hundred pairs per date, read four times
-    edges = cov.where("asset_i = asset_j").select("date", "asset_i", "asset_j").unionByName(_near(cov))
+    edges = _correlated(_cov(s, d)).where("asset_i = asset_j or corr > 0.3").select("date", "asset_i", "asset_j")
     return edges.groupBy("date").applyInPandas(graphs.components_of, "date date, asset string, component string")  # a group holds one date's assets
 
 
