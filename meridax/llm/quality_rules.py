@@ -59,10 +59,11 @@ def _words(text: Column) -> Column:
 def measured(docs: DataFrame, *, window: int = 8) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the ratios of the rules."""
     docs, back = apart(docs, MEASURES, ["text"])
+    own = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     chars = lambda kinds: F.length(text) - F.length(F.translate(text, kinds, ""))
     frame = docs.select(
-        *[c for c in docs.columns if c != "text"],
+        *own,
         _words(text).alias("words"),
         F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0).alias("lines"),
         (F.length(text) - chars(" \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
@@ -85,8 +86,9 @@ def measured(docs: DataFrame, *, window: int = 8) -> DataFrame:
     # a window counts its words up to the next such window, the last one all of its own
     covered = F.when(F.size("twice") > 1, F.aggregate(F.sequence(F.lit(0), F.size("twice") - 2), F.lit(window), lambda total, i: total + step(i)))
     n = F.size("words")
-    return frame.select(
-        *back,
+    # input columns get their names back in a select of their own: beside the measures, a name like "twice" would be an alias that a lambda's expression takes
+    made = frame.select(
+        *own,
         n.cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -98,6 +100,7 @@ def measured(docs: DataFrame, *, window: int = 8) -> DataFrame:
         F.try_divide(F.size(F.filter("words", lambda w: w.isin(STOP_FORMS))), n).alias("stop_word_share"),
         F.try_divide(F.size("lines") - F.size(F.array_distinct("lines")), F.size("lines")).alias("dup_line_share"),
     ).withColumn("repeat_word_share", F.try_divide("n_repeat_words", "n_words"))
+    return made.select(*back, *[c for c in MEASURES if c in made.columns])
 
 
 def _places_of_repeats() -> Column:
