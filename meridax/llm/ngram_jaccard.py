@@ -8,8 +8,10 @@
 3. Sizes form bands that grow by 1 / t. A tile holds the nodes that sent one n-gram and lie in two neighbouring bands, so
    each pair that can link meets in a tile. In a tile, the bits in which two bitmaps differ are at most the n-grams in
    which the sets differ, which bounds the overlap from above. Pairs within the bound are intersected as sorted arrays.
-4. First, in the tiles of each set's few rarest n-grams, a node is paired with the smallest one before it within the bound only. The links
-   among these pairs connect most of what links at all; a large group of near copies costs a pair or two a node.
+4. First, a node is paired in each tile with the smallest one before it within the bound only, and of these pairs the few that most
+   tiles give are tested. Then up to two rounds test a few pairs of each node with nodes that aren't connected to it yet, by a hash that
+   differs by round. The links connect most of what links at all; a large group of near copies costs a few pairs a node.
+   Tiles without a pair within the bound end after the first pass.
 5. Then the tiles whose nodes aren't all connected yet give all pairs within the bound whose ends are not connected. In
    a tile those outside its largest connected part meet all others, in chunks if there are many. Links of both steps give the classes.
 
@@ -35,7 +37,7 @@ from meridax.llm.components import components
 
 NO_ID = np.iinfo(np.int64).max
 SKETCH, SLICE = 21, 1 << 16  # counts by hash: 2**21 of them, sent in slices
-EARLY = 4  # so many of a set's rarest n-grams make the first pairs
+TRIES, ROUNDS = 4, 2  # so many pairs of a node are tested in a round, before all pairs that are left
 FEW = 64  # tiles up to this size are compared all at once
 LEAST_BITS, MOST_BITS = 1 << 7, 1 << 15
 
@@ -90,17 +92,17 @@ def _slot(grams: np.ndarray) -> np.ndarray:
     return ((grams >> U64(20)) & U64((1 << SKETCH) - 1)).astype(np.int64)
 
 
-def prefixes(sets: list[np.ndarray], levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rarest n - ceil(t n) + 1 n-grams of each set: the n-grams, the number of their set, and their place from 0."""
+def prefixes(sets: list[np.ndarray], levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest n - ceil(t n) + 1 n-grams of each set: the n-grams and the number of their set."""
     size = np.array([len(x) for x in sets], np.int64)
     if not size.sum():
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64)
     grams, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     rank = (levels[_slot(grams)].astype(U64) << U64(57)) | (grams >> U64(7))
     order = np.lexsort((rank, of))
     place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
     keep = place < (size - -(-num * size // den) + 1)[of]
-    return grams[order][keep], of[keep], place[keep]
+    return grams[order][keep], of[keep]
 
 
 class Tiles:
@@ -287,7 +289,7 @@ class Join:
         return rarity(counts)
 
     def shared(self, levels: np.ndarray) -> DataFrame:
-        """(tile, node, n, early): the nodes that meet others in a tile. Rows without a node name the tiles of more than ``tile_rows``."""
+        """(tile, node, n): the nodes that meet others in a tile. Rows without a node name the tiles of more than ``tile_rows``."""
         sets_of, num, den, most = self.sets_of(), self.num, self.den, self.tile_rows
         table = self.spark.sparkContext.broadcast(levels)
         least, edges = num // (den - num), band_edges(num, den)  # smaller sets link with equal ones only
@@ -297,27 +299,27 @@ class Join:
             for _, sets in sets_of(batches):
                 keyed = {k: x for k, x in ((_key(x), x) for x in sets if len(x) >= max(2, least)) if k not in seen}
                 seen.update(keyed)
-                gram, of, place = prefixes(list(keyed.values()), table.value, num, den)
+                gram, of = prefixes(list(keyed.values()), table.value, num, den)
                 if len(gram):
                     node, n = np.array(list(keyed), np.int64), np.array([len(x) for x in keyed.values()], np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(node[of]), pa.array(n[of]), pa.array(place < EARLY)], ["gram", "node", "n", "early"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(node[of]), pa.array(n[of])], ["gram", "node", "n"])
 
         def meet(batches):
             """Rows come in order of n-gram, size and node; a batch's last row waits for the next batch."""
             last, before, counts = None, False, {}
             for batch in chain(batches, [None]):
                 if batch is not None:
-                    gram, node, n, early = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                    gram, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
                     if last is not None:
-                        gram, node, n, early = (np.concatenate([[x], y]) for x, y in zip(last, (gram, node, n, early)))
+                        gram, node, n = (np.concatenate([[x], y]) for x, y in zip(last, (gram, node, n)))
                     if not len(gram):
                         continue
                 elif last is None:
                     return
                 else:
-                    gram, node, n, early = (np.array([x]) for x in last)
+                    gram, node, n = (np.array([x]) for x in last)
                 fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
-                gram, node, n, early = (x[fresh] for x in (gram, node, n, early))
+                gram, node, n = (x[fresh] for x in (gram, node, n))
                 band = np.searchsorted(edges, n, "right") - 1
                 group = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])).astype(np.int64)
                 spot = group * 4096 + band
@@ -333,13 +335,13 @@ class Join:
                 stop = len(gram) - 1 if batch is not None else len(gram)
                 if batch is not None:
                     before = bool(len(group) > 1 and group[-1] == group[-2]) or (before and group[-1] == 0)
-                    last = (gram[-1], node[-1], n[-1], early[-1])
+                    last = (gram[-1], node[-1], n[-1])
                 base = mix(gram[:stop].astype(np.int64).view(U64) ^ U64(0xA24BAED4963EE407))
                 out = []
                 for step, chosen in ((0, own[:stop]), (1, up[:stop])):
                     tile = mix(base[chosen] + (band[:stop][chosen] + step).astype(U64)).view(np.int64)
-                    out.append((tile, node[:stop][chosen], n[:stop][chosen], early[:stop][chosen] & (step == 0), group[:stop][chosen] == group[-1]))
-                tile, nodes, sizes, soon, going = (np.concatenate(x) for x in zip(*out))
+                    out.append((tile, node[:stop][chosen], n[:stop][chosen], group[:stop][chosen] == group[-1]))
+                tile, nodes, sizes, going = (np.concatenate(x) for x in zip(*out))
                 if not len(tile):
                     continue
                 names, k = np.unique(tile, return_counts=True)
@@ -347,29 +349,75 @@ class Join:
                     k[np.searchsorted(names, t)] += counts[t]
                 large = names[k > most].tolist()
                 counts = {t: int(k[np.searchsorted(names, t)]) for t in np.unique(tile[going]).tolist()}
-                yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int64)), pa.array(nodes.astype(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(soon.astype(bool))], ["tile", "node", "n", "early"])
+                yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int64)), pa.array(nodes.astype(np.int64)), pa.array(sizes.astype(np.int32))], ["tile", "node", "n"])
                 if large:
-                    yield pa.RecordBatch.from_arrays([pa.array(large, pa.int64()), pa.nulls(len(large), pa.int64()), pa.nulls(len(large), pa.int32()), pa.array([False] * len(large))], ["tile", "node", "n", "early"])
+                    yield pa.RecordBatch.from_arrays([pa.array(large, pa.int64()), pa.nulls(len(large), pa.int64()), pa.nulls(len(large), pa.int32())], ["tile", "node", "n"])
 
-        sent = self.texts.select("doc_id", "text").mapInArrow(send, "gram long, node long, n int, early boolean")
-        found = sent.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(meet, "tile long, node long, n int, early boolean")
+        sent = self.texts.select("doc_id", "text").mapInArrow(send, "gram long, node long, n int")
+        found = sent.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(meet, "tile long, node long, n int")
         return staged(self.spark, found, "ngram-shared")
 
     def first_pairs(self, shared: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(tile, u, v): each node v of a tile with the first one u before it within the bound."""
         num, den, most = self.num, self.den, self.tile_rows
 
         def pair(batches):
             for tile, table in _aligned(batches, ["tile"], 20_000, most):
-                node = table["node"].to_numpy()
+                node, name = table["node"].to_numpy(), table["tile"].to_numpy()
                 i, j = Tiles(tile, table["n"].to_numpy().astype(np.int64), _one(table["body"]), num, den).first_pairs()
-                pairs = np.unique(np.stack([node[i], node[j]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], schema=_PAIR)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name[j], node[i], node[j])], ["tile", "u", "v"])
 
-        # only the tiles of a set's own band here: what is missed is left to the second step
-        rows = shared.where("early").join(nodes.select("node", "body"), "node").select("tile", "n", "node", "body")
-        return rows.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(pair, "u long, v long").where("u != v").distinct()
+        rows = shared.where("node is not null").join(nodes.select("node", "body"), "node").select("tile", "n", "node", "body")
+        return staged(self.spark, rows.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(pair, "tile long, u long, v long").where("u != v"), "ngram-met")
 
-    def other_pairs(self, shared: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    @staticmethod
+    def few_of_each(pairs: DataFrame, order: Column) -> DataFrame:
+        """For each v the pairs of largest ``order``."""
+        best = pairs.groupBy("u", "v").agg(order.alias("k")).groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "u")), False), 1, TRIES).alias("best"))
+        return best.select("v", F.explode("best").alias("x")).select("x.u", "v")
+
+    def more_pairs(self, rows: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+        """For each node a few pairs within the bound whose ends aren't connected, without those tested, by a hash that differs by turn."""
+        num, den, most = self.num, self.den, self.tile_rows
+        salt = mix(np.array([turn + 1], U64))
+
+        def lowest(pairs, node):
+            i, j = pairs
+            rank = mix(mix(node[i].view(U64) + salt) ^ node[j].view(U64))
+            order = np.lexsort((rank, j))
+            begins = np.flatnonzero(np.concatenate([[True], j[order][1:] != j[order][:-1]]))
+            place = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+            return pairs[:, order[place < TRIES]]
+
+        def pair(batches):
+            for tile, table in _aligned(batches, ["tile"], 20_000, most):
+                node, label = table["node"].to_numpy(), table["label"].to_numpy()
+                held, size = [np.zeros((2, 0), np.int64)], 0
+                for i, j in Tiles(tile, table["n"].to_numpy().astype(np.int64), _one(table["body"]), num, den).all_pairs(label, np.ones(len(node), bool)):
+                    held.append(np.stack([i, j]))
+                    size += len(i)
+                    if size > 1 << 20:
+                        held, size = [lowest(np.concatenate(held, 1), node)], 0
+                pairs = np.concatenate(held, 1)
+                if pairs.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[x]) for x in lowest(pairs, node)], schema=_PAIR)
+
+        about = nodes.select("node", "body").join(labels, "node")
+        dealt = rows.join(about, "node").select("tile", "n", "node", "label", "body").repartition("tile").sortWithinPartitions("tile", "n", "node")
+        return self.few_of_each(self.untested(dealt.mapInArrow(pair, "u long, v long").distinct(), tested), F.first(F.xxhash64(F.lit(turn), "u", "v")))
+
+    @staticmethod
+    def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+        either = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        return pairs.join(either, ["u", "v"], "left_anti")
+
+    def merged(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels (node, label) after links of their nodes: components of the labels."""
+        ends = links.join(labels.toDF("u", "a"), "u").join(labels.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        parts = components(self.spark, ends).toDF("label", "part")
+        return staged(self.spark, labels.join(parts, "label", "left").select("node", F.coalesce("part", "label").alias("label")), "ngram-labels")
+
+    def other_pairs(self, rows: DataFrame, large: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
         """What is within the bound in the tiles that hold more than one connected part, without the pairs tested already."""
         num, den, chunk = self.num, self.den, max(1, self.tile_rows // 2)
 
@@ -388,9 +436,7 @@ class Join:
                     if len(i):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], schema=_PAIR)
 
-        about = nodes.join(labels, "node", "left").select("node", "body", F.coalesce("label", "node").alias("label"))
-        rows = shared.where("node is not null")
-        large = staged(self.spark, shared.where("node is null").select("tile").distinct(), "ngram-large")
+        about = nodes.join(labels, "node").select("node", "body", "label")
         usual = rows
         if not large.isEmpty():
             usual = rows.join(large, "tile", "left_anti")
@@ -406,8 +452,7 @@ class Join:
             every = held.select(F.col("tile"), F.pmod(spot, "ca").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("b"), "n", "node", "label", F.lit(False).alias("few"), "body")
             some = held.where("few").select("tile", F.explode(F.sequence(F.lit(0), F.col("ca") - 1)).alias("a"), F.pmod(spot, "cb").cast("int").alias("b"), "n", "node", "label", "few", "body")
             dealt = dealt.unionByName(every.unionByName(some).select(F.xxhash64("tile", "a", "b").alias("tile"), "n", "node", "label", "few", "body"))
-        known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        return dealt.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(pair, "u long, v long").distinct().join(known, ["u", "v"], "left_anti")
+        return self.untested(dealt.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(pair, "u long, v long").distinct(), tested)
 
     def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (u, v) that link: u's set meets those of its v in one or more jobs, as many as their n-grams need."""
@@ -445,17 +490,30 @@ class Join:
         first = F.min(F.struct("doc_id", "text_key"))
         nodes = staged(self.spark, rows.groupBy("node").agg(first.alias("first"), F.first("n").alias("n"), F.first("body").alias("body")).select("node", "first.doc_id", "first.text_key", "n", "body"), "ngram-nodes")
         shared = self.shared(self.levels(about))
-        tested = staged(self.spark, self.first_pairs(shared, nodes), "ngram-pairs")
-        links = self.links(tested, nodes)
-        labels = components(self.spark, links).withColumnRenamed("component", "label")
-        others = staged(self.spark, self.other_pairs(shared, nodes, labels, tested), "ngram-pairs")
+        met = self.first_pairs(shared, nodes)
+        large = staged(self.spark, shared.where("node is null").select("tile").distinct(), "ngram-large")
+        # of the tiles with a pair within the bound, and of those too large to tell
+        tiles = staged(self.spark, shared.where("node is not null").join(met.select("tile").unionByName(large).distinct(), "tile", "left_semi"), "ngram-tiles")
+        discard(self.spark, shared)
+        tested = staged(self.spark, self.few_of_each(met, F.count("*")), "ngram-pairs")
+        discard(self.spark, met)
+        used = [tiles, large, tested]
+        labels = self.merged(nodes.select("node", F.col("node").alias("label")), self.links(tested, nodes))
+        for turn in range(ROUNDS):
+            more = staged(self.spark, self.more_pairs(tiles, nodes, labels, tested, turn), "ngram-pairs")
+            used.append(more)
+            links, tested = self.links(more, nodes), tested.unionByName(more)
+            if links.isEmpty():
+                break
+            labels = self.merged(labels, links)
+        others = staged(self.spark, self.other_pairs(tiles, large, nodes, labels, tested), "ngram-pairs")
         if not others.isEmpty():
-            labels = components(self.spark, links.unionByName(self.links(others, nodes))).withColumnRenamed("component", "label")
-        classes = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("component"))
+            labels = self.merged(labels, self.links(others, nodes))
+        classes = nodes.join(labels, "node").select("node", "doc_id", F.col("label").alias("component"))
         named = classes.join(classes.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("node", "component", F.nullif("least", F.lit(NO_ID)).alias("least"))
         linking = F.col("n") > 0
         out = rows.join(named, "node").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_key", F.col("n").alias("n_shingles"), F.when(linking, F.col("component")).alias("class"), F.when(linking, F.col("least")).otherwise(F.nullif("doc_id", F.lit(NO_ID))).alias("component_id"))
-        for table in (shared, tested, others):
+        for table in (*used, others):
             discard(self.spark, table)
         return out
 

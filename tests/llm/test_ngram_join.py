@@ -68,3 +68,25 @@ def test_query_equals_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = ngram_jaccard.op9_ngram_jaccard(spark, DATA).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes(rows, 3, 90)
+
+
+def test_near_copies_cost_a_few_pairs_each(spark, monkeypatch):
+    """A group whose members each have n-grams of their own, rarer than those they share."""
+    draw = random.Random(5)
+    base, tested = [f"w{draw.randrange(2000)}" for _ in range(160)], []
+    rows = []
+    for i in range(240):
+        text = list(base)
+        for _ in range(2):
+            text[draw.randrange(len(text))] = f"x{draw.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    links = ngram_jaccard.Join.links
+
+    def counted(self, pairs, nodes):
+        tested.append(pairs.count())
+        return links(self, pairs, nodes)
+
+    monkeypatch.setattr(ngram_jaccard.Join, "links", counted)
+    got = ngram_jaccard.ngram_classes(spark, spark.createDataFrame(rows, "doc_id long, text string"), words=5, num=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes(rows, 5, 80)
+    assert sum(tested) <= 12 * len(rows), tested
