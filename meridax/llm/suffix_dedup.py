@@ -5,6 +5,8 @@ A byte goes if a ``length``-byte string covers it that also starts in a document
 1. Documents are packed into blocks, written once to the shared folder.
 2. Sieve: each ``length``-byte window belongs to the run of windows that share its smallest 20-byte gram. Grams that
    only one document holds can't matter. Blocks send sorted gram hashes by hash range; each range answers with bit masks.
+   Blocks and ranges hold 8 MB of text each: a block writes to every range, so that messages grow with the square of the
+   corpus over the product of both sizes.
 3. The runs whose gram two documents hold become short strings; equal strings collapse to one with the smallest id.
    Runs of a gram in very many documents are cut into single windows, dealt by the window itself, so that no gram makes
    a large group: equal windows collapse in each block, different ones scatter.
@@ -12,6 +14,7 @@ A byte goes if a ``length``-byte string covers it that also starts in a document
    merged by interleave refinement: after round h the merged order is right for the first h characters, and the
    boundaries that round h adds have a common prefix of h - 1. No suffix of the whole is sorted again. After
    ``length`` rounds, the intervals without a boundary are the repeated strings; the smallest id in each is the answer.
+   A block gets one bit for each window: whether an id smaller than the smallest of its own has it.
 5. Blocks read the answers, mark the covered bytes and cut them out.
 
 Null text counts as empty; empty and short texts have nothing removed. A null doc_id counts as larger than all ids.
@@ -50,6 +53,28 @@ def _unzip(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
+def _zip_planes(x: np.ndarray) -> bytes:
+    """Numbers whose high bytes hardly differ: all first bytes, then all second ones and so on."""
+    return _zip(x.view(np.uint8).reshape(len(x), -1).T)
+
+
+def _unzip_planes(x: bytes, kind, columns: int = 1) -> np.ndarray:
+    return np.ascontiguousarray(_unzip(x, np.uint8).reshape(np.dtype(kind).itemsize * columns, -1).T).view(kind)
+
+
+def _contents(data: np.ndarray, first: np.ndarray, size: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """Hashes of the strings ``data[first:first + size]``; only a piece of the data is summed at a time."""
+    out = np.empty(len(first), U64)
+    by = np.argsort(first, kind="stable")
+    starts, a = first[by], 0
+    while a < len(by):
+        b = int(np.searchsorted(starts, starts[a] + piece))
+        begin, end = first[by[a:b]] - starts[a], first[by[a:b]] + size[by[a:b]] - starts[a]
+        out[by[a:b]] = RangeHash(data[starts[a] : starts[a] + end.max()]).of(begin, end)
+        a = b
+    return out
+
+
 # ---------------------------------------------------------------- shard transforms and their merge
 
 
@@ -198,7 +223,7 @@ class Runs:
         begins = np.flatnonzero(change)
         ends = np.append(begins[1:], len(least))
         keep = inside[begins]
-        return least[begins[keep]], begins[keep] + a, ends[keep] + a
+        return mix(least[begins[keep]]), begins[keep] + a, ends[keep] + a  # mixed anew: minima are small, and ranges are to be even
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """The different grams in order, and for each the number of documents with it."""
@@ -221,8 +246,7 @@ class Runs:
         single = ragged(start[heat], windows[heat])
         first = np.concatenate([start[~heat], single])
         size = np.concatenate([windows[~heat], np.ones(len(single), np.int64)]) + self.length - 1
-        hash_ = RangeHash(self.data)
-        content = hash_.of(first, first + size)
+        content = _contents(self.data, first, size)
         key = np.concatenate([gram[~heat], mix(content[len(start) - int(heat.sum()) :] ^ U64(0x5851F42D4C957F2D))])
         doc = np.searchsorted(self.at, first, "right") - 1
         order = np.lexsort((ids[doc], content, key))
@@ -239,21 +263,13 @@ def _slices(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return part[begins].astype(np.int64), np.append(begins, len(part))
 
 
-def _fives(grams: np.ndarray, ranges: int) -> np.ndarray:
-    """Of each hash, 40 bits below those that number its range."""
-    shift = max(0, 24 - (ranges.bit_length() - 1))
-    wide = (grams >> U64(shift)) & U64((1 << 40) - 1)
-    return wide.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+def _short(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Of each hash, 32 bits below those that number its range: about one of 10,000 meets another in a range of 8 MB, which only adds work."""
+    return (hashes >> U64(32 - (min(ranges, 1 << 32).bit_length() - 1))).astype("<u4")
 
 
-def _from_fives(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
-_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
-_SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("body", pa.binary()), ("more", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
+_SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("body", pa.binary()), ("more", pa.binary()), ("ids", pa.binary())])
 _TOLD = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
@@ -263,16 +279,23 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.frombuffer(row["sizes"], np.int64)
     return np.frombuffer(zstandard.decompress(row["body"]), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(row["ids"], np.int64)
 
 
-def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, block_bytes: int = 1 << 20, range_bytes: int = 1 << 20, hot_documents: int = 2000, batch_bytes: int = 1 << 17, with_kept: bool = True) -> DataFrame:
+def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, block_bytes: int = 1 << 23, range_bytes: int = 1 << 23, hot_documents: int = 2000, batch_bytes: int = 1 << 17, with_kept: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_kept``, the remaining bytes ``kept``.
 
-    ``range_bytes``: text per hash range, which bounds what a merging task holds. ``hot_documents``: grams in more
-    documents are dealt window by window. ``batch_bytes``: what is merged at once. None of these changes a result.
+    ``block_bytes`` and ``range_bytes``: text per block and per hash range, which bound what a task holds; messages
+    number (all text) ** 2 / (block_bytes * range_bytes). ``hot_documents``: grams in more documents are dealt window by
+    window. ``batch_bytes``: what is merged at once. None of these changes a result.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
@@ -281,25 +304,24 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, bloc
         number = TaskContext.get().partitionId() << 32
         for batch in portions(batches, "text", block_bytes):
             data, at = utf8(batch.column(1))
-            yield _rows(_BLOCK, [number], [longs(batch.column(0)).tobytes()], [np.diff(at).tobytes()], [zstandard.compress(data.tobytes(), 1)])
+            yield _rows(_BLOCK, [number], [len(data)], [longs(batch.column(0)).tobytes()], [np.diff(at).tobytes()], [zstandard.compress(data.tobytes(), 1)])
             number += 1
 
     blocks = staged(spark, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, _ddl(_BLOCK)), "dedup-blocks")
-    total = blocks.agg(F.sum(F.expr("aggregate(array(octet_length(body)), 0L, (a, x) -> a + x)"))).first()[0] or 0
-    ranges = max(16, min(1 << 30, 2 * total // range_bytes))  # compressed text is about half as long
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    ranges = max(16, min(1 << 30, total // range_bytes))
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data, at, _ = _open(row)
-                grams, documents = Runs(data, at, length).grams()
-                parts, edges = _slices(grams, ranges)
-                documents = np.minimum(documents, 65535).astype(np.uint16)
-                short = _fives(grams, ranges)
-                yield _rows(_SENT, parts, [row["block"]] * len(parts), [short[a:b].tobytes() for a, b in zip(edges, edges[1:])], [_zip(documents[a:b]) for a, b in zip(edges, edges[1:])])
+        for row in _each(batches):
+            data, at, _ = _open(row)
+            grams, documents = Runs(data, at, length).grams()
+            parts, edges = _slices(grams, ranges)
+            documents = np.minimum(documents, 65535).astype(np.uint16)
+            short = _short(grams, ranges)
+            yield _rows(_SENT, parts, [row["block"]] * len(parts), [short[a:b].tobytes() for a, b in zip(edges, edges[1:])], [_zip(documents[a:b]) for a, b in zip(edges, edges[1:])], [None] * len(parts))
 
     def shared(table: pa.Table) -> pa.Table:
-        sent = [_from_fives(x) for x in table["body"].to_pylist()]
+        sent = [np.frombuffer(x, "<u4") for x in table["body"].to_pylist()]
         counts = [_unzip(x, np.uint16) for x in table["more"].to_pylist()]
         every, weight = np.concatenate(sent), np.concatenate(counts).astype(np.int64)
         order = np.argsort(every, kind="stable")
@@ -315,79 +337,82 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, bloc
     def with_answers(told: DataFrame) -> DataFrame:
         return blocks.join(told.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("told")), "block", "left")
 
-    def levels(row: dict) -> np.ndarray:
-        parts = [_unzip(x["body"], np.uint8) for x in sorted(row["told"] or [], key=lambda x: x["part"])]
+    def levels(told: list[dict] | None) -> np.ndarray:
+        parts = [_unzip(x["body"], np.uint8) for x in sorted(told or [], key=lambda x: x["part"])]
         return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
     masks = staged(spark, blocks.mapInArrow(sieve, _ddl(_SENT)).groupBy("part").applyInArrow(shared, _ddl(_TOLD)), "dedup-masks")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data, at, ids = _open(row)
-                level = levels(row)
-                if not level.any():
-                    continue
-                s = Runs(data, at, length).strings(level > 0, level > 1, ids)
-                first, size, least = s["first"][s["fresh"]], s["size"][s["fresh"]], ids[s["doc"][s["fresh"]]]
-                parts, edges = _slices(s["key"][s["fresh"]], ranges)
-                key = s["key"][s["fresh"]].view(np.int64)
-                bodies = [_zip(data[ragged(first[a:b], size[a:b])]) for a, b in zip(edges, edges[1:])]
-                more = [_zip(np.concatenate([size[a:b], least[a:b], key[a:b]])) for a, b in zip(edges, edges[1:])]
-                yield _rows(_SENT, parts, [row["block"]] * len(parts), bodies, more)
+        for row in _each(batches):
+            data, at, ids = _open(row)
+            level = levels(row["told"])
+            if not level.any():
+                continue
+            s = Runs(data, at, length).strings(level > 0, level > 1, ids)
+            key, first, size, least = s["key"][s["fresh"]], s["first"][s["fresh"]], s["size"][s["fresh"]], ids[s["doc"][s["fresh"]]]
+            parts, edges = _slices(key, ranges)
+            about = np.stack([size.astype("<u4"), _short(key, ranges)], 1)
+            bodies = [_zip(data[ragged(first[a:b], size[a:b])]) for a, b in zip(edges, edges[1:])]
+            yield _rows(_SENT, parts, [row["block"]] * len(parts), bodies, [_zip_planes(about[a:b]) for a, b in zip(edges, edges[1:])], [_zip_planes(least[a:b]) for a, b in zip(edges, edges[1:])])
 
     def merge(table: pa.Table) -> pa.Table:
-        about = [_unzip(x, np.int64).reshape(3, -1) for x in table["more"].to_pylist()]
+        about = [_unzip_planes(x, "<u4", 2) for x in table["more"].to_pylist()]
         data = np.concatenate([_unzip(x, np.uint8) for x in table["body"].to_pylist()])
-        size, ids, key = (np.concatenate([x[i] for x in about]) for i in range(3))
+        size, key = (np.concatenate([x[:, i] for x in about]).astype(np.int64) for i in range(2))
+        ids = np.concatenate([_unzip_planes(x, np.int64).ravel() for x in table["ids"].to_pylist()])
         at = np.concatenate([[0], np.cumsum(size)])
-        cuts = _cuts(at, batch_bytes)
-        content = np.concatenate([RangeHash(data[at[a] : at[b]]).of(at[a:b] - at[a], at[a + 1 : b + 1] - at[a]) for a, b in zip(cuts, cuts[1:])])
+        windows = size - length + 1
+        content = _contents(data, at[:-1], size)
         order = np.lexsort((ids, content))
         fresh = np.concatenate([[True], content[order][1:] != content[order][:-1]])
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(fresh) - 1
         chosen = order[fresh]  # of equal strings one stays, with the smallest id
-        own = np.concatenate([[0], np.cumsum(size[chosen])])
+        own = np.concatenate([[0], np.cumsum(windows[chosen])])
         _, group, members = np.unique(key[chosen], return_inverse=True, return_counts=True)
-        least = np.repeat(ids[chosen], size[chosen])  # right for the only string of its gram
+        least = np.repeat(ids[chosen], windows[chosen])  # right for the only string of its gram
         several = np.flatnonzero(members[group] > 1)
         several = several[np.argsort(group[several], kind="stable")]
         ends = np.concatenate([[0], np.cumsum(size[chosen[several]])])
         cuts = _cuts(ends, batch_bytes, group[several]) if len(several) else [0]
         for a, b in zip(cuts, cuts[1:]):  # a gram's strings stay together
-            some = several[a:b]
-            text = data[ragged(at[chosen[some]], size[chosen[some]])]
-            least[ragged(own[some], size[chosen[some]])] = smallest_by_window(text, ends[a : b + 1] - ends[a], ids[chosen[some]], length)
-        edges = np.cumsum([0, *(x.shape[1] for x in about)])
-        body = [_zip(least[ragged(own[number[a:b]], size[a:b] - length + 1)]) for a, b in zip(edges, edges[1:])]
+            some, row = several[a:b], chosen[several[a:b]]
+            text = data[ragged(at[row], size[row])]
+            found = smallest_by_window(text, ends[a : b + 1] - ends[a], ids[row], length)
+            least[ragged(own[some], windows[row])] = found[ragged(ends[a:b] - ends[a], windows[row])]
+        edges = np.cumsum([0, *map(len, about)])
+        body = [_zip(least[ragged(own[number[a:b]], windows[a:b])] < np.repeat(ids[a:b], windows[a:b])) for a, b in zip(edges, edges[1:])]
         return pa.table([table["block"].cast(pa.int64()), table["part"].cast(pa.int32()), pa.array(body, pa.binary())], schema=_TOLD)
 
     answers = staged(spark, with_answers(masks).mapInArrow(send, _ddl(_SENT)).groupBy("part").applyInArrow(merge, _ddl(_TOLD)), "dedup-answers")
     both = with_answers(masks).withColumnRenamed("told", "levels").join(answers.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("told")), "block", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data, at, ids = _open(row)
-                gone = np.zeros(len(data) + 1, np.int32)
-                if row["told"]:
-                    level = levels({"told": row["levels"]})
-                    s = Runs(data, at, length).strings(level > 0, level > 1, ids)
-                    least = np.concatenate([_unzip(x["body"], np.int64) for x in sorted(row["told"], key=lambda x: x["part"])])
-                    windows = s["size"] - length + 1
-                    base = np.cumsum(windows[s["fresh"]]) - windows[s["fresh"]]
-                    least = least[ragged(base[s["number"]], windows)]
-                    hit = ragged(s["first"], windows)[least < np.repeat(ids[s["doc"]], windows)]
-                    gone[:-1] += np.bincount(hit, minlength=len(data)).astype(np.int32)
-                    gone -= np.bincount(hit + length, minlength=len(data) + 1).astype(np.int32)
-                covered = np.cumsum(gone[:-1]) > 0
-                rise = covered.copy()
-                rise[1:] &= ~covered[:-1]
-                rise[at[:-1][at[:-1] < len(data)]] = covered[at[:-1][at[:-1] < len(data)]]
-                removed, spans = (np.concatenate([[0], np.cumsum(x)])[at] for x in (covered, rise))
-                kept = [data[a:b].tobytes() if not r else data[a:b][~covered[a:b]].tobytes() for a, b, r in zip(at, at[1:], np.diff(removed))]
-                yield _rows(_OUT, [None if i == NO_ID else int(i) for i in ids], np.diff(at), np.diff(removed), np.diff(spans), [hashlib.sha256(x).hexdigest() for x in kept], kept if with_kept else [None] * len(ids))
+        for row in _each(batches):
+            data, at, ids = _open(row)
+            gone = np.zeros(len(data), bool)  # windows that go, by their starts
+            if row["told"]:
+                level = levels(row["levels"])
+                s = Runs(data, at, length).strings(level > 0, level > 1, ids)
+                smaller = levels(row["told"]).view(bool)
+                windows = s["size"] - length + 1
+                base = np.cumsum(windows[s["fresh"]]) - windows[s["fresh"]]
+                own = ids[s["doc"]]
+                later = own > own[s["fresh"]][s["number"]]  # a smaller id of this block has the whole string
+                for a in range(0, len(windows), 1 << 14):
+                    some, n = s["number"][a : a + (1 << 14)], windows[a : a + (1 << 14)]
+                    hit = smaller[ragged(base[some], n)] | np.repeat(later[a : a + (1 << 14)], n)
+                    gone[ragged(s["first"][a : a + (1 << 14)], n)[hit]] = True
+            before = np.concatenate([[0], np.cumsum(gone)]).astype(np.int32)
+            covered = before[1:] > 0
+            covered[length - 1 :] = before[length:] > before[:-length]
+            rise = covered.copy()
+            rise[1:] &= ~covered[:-1]
+            rise[at[:-1][at[:-1] < len(data)]] = covered[at[:-1][at[:-1] < len(data)]]
+            removed, spans = (np.concatenate([[0], np.cumsum(x)])[at] for x in (covered, rise))
+            kept = [data[a:b].tobytes() if not r else data[a:b][~covered[a:b]].tobytes() for a, b, r in zip(at, at[1:], np.diff(removed))]
+            yield _rows(_OUT, [None if i == NO_ID else int(i) for i in ids], np.diff(at), np.diff(removed), np.diff(spans), [hashlib.sha256(x).hexdigest() for x in kept], kept if with_kept else [None] * len(ids))
 
     out = both.mapInArrow(cut, _ddl(_OUT))
     return out if with_kept else out.drop("kept")
