@@ -15,7 +15,7 @@ A byte goes if a ``length``-byte string covers it that also starts in a document
    boundaries that round h adds have a common prefix of h - 1. No suffix of the whole is sorted again. After
    ``length`` rounds, the intervals without a boundary are the repeated strings; the smallest id in each is the answer.
    A block gets one bit for each window: whether an id smaller than the smallest of its own has it.
-5. Blocks read the answers, mark the covered bytes and cut them out.
+5. Blocks read the answers, mark the covered bytes and cut them out. Steps 3 and 5 read one shuffle of the blocks.
 
 Null text counts as empty; empty and short texts have nothing removed. A null doc_id counts as larger than all ids.
 Rows with equal ids don't remove each other's bytes. Extra columns are ignored. An empty table gives an empty result.
@@ -385,7 +385,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, *, length: int = 50, bloc
         body = [_zip(least[ragged(own[number[a:b]], windows[a:b])] < np.repeat(ids[a:b], windows[a:b])) for a, b in zip(edges, edges[1:])]
         return pa.table([table["block"].cast(pa.int64()), table["part"].cast(pa.int32()), pa.array(body, pa.binary())], schema=_TOLD)
 
-    answers = staged(spark, with_answers(masks).mapInArrow(send, _ddl(_SENT)).groupBy("part").applyInArrow(merge, _ddl(_TOLD)), "dedup-answers")
+    # not staged in between: the blocks are dealt once for both joins
+    answers = with_answers(masks).mapInArrow(send, _ddl(_SENT)).groupBy("part").applyInArrow(merge, _ddl(_TOLD))
     both = with_answers(masks).withColumnRenamed("told", "levels").join(answers.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("told")), "block", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Substring dedup on 20 MB: how many messages blocks and ranges exchange, and how even ranges are."""
+"""Substring dedup on 20 MB: how many messages blocks and ranges exchange, how even ranges are, and what is shuffled."""
 
 import numpy as np
 import pytest
@@ -35,6 +35,11 @@ def test_messages_are_few(run):
     assert len(rows) == 2000 and size > 19e6 and messages <= 5 * size / 1e6
 
 
+def test_blocks_are_dealt_once(run):
+    _, sent, rows = run
+    assert sent < 3.3 * sum(r.n_bytes for r in rows)
+
+
 def test_ranges_are_even(spark):
     rows = spark.range(60).selectExpr("array_join(transform(sequence(1, 150), x -> sha2(concat_ws('-', id, x), 256)), ' ') as text").toArrow()
     grams, _ = suffix_dedup.Runs(*utf8(rows.column(0)), 50).grams()
