@@ -275,18 +275,18 @@ class Join:
         return staged(self.spark, self.texts.select("doc_id", "text", "text_key").mapInArrow(run, "kind int, doc_id long, text_key long, n long, node long, body binary"), "ngram-docs")
 
     def levels(self, about: DataFrame) -> np.ndarray:
-        """The rarity of each hash, from the counts of all tasks: a table of fixed size."""
+        """The rarity of each hash, from the counts of all tasks: a table of fixed size, a byte for each hash."""
 
         def unite(table: pa.Table) -> pa.Table:
             total = np.zeros(SLICE, np.uint64)
             for x in table["body"].to_pylist():
                 total += np.frombuffer(zstandard.decompress(x), "<u4")
-            return pa.table({"node": table["node"][:1], "body": pa.array([total.tobytes()], pa.binary())})
+            return pa.table({"node": table["node"][:1], "body": pa.array([rarity(total).tobytes()], pa.binary())})
 
-        counts = np.zeros(1 << SKETCH, np.uint64)
+        levels = rarity(np.zeros(1 << SKETCH, np.uint64))
         for row in about.where("kind = 1").select("node", "body").groupBy("node").applyInArrow(unite, "node long, body binary").collect():
-            counts[row["node"] * SLICE : (row["node"] + 1) * SLICE] = np.frombuffer(row["body"], np.uint64)
-        return rarity(counts)
+            levels[row["node"] * SLICE : (row["node"] + 1) * SLICE] = np.frombuffer(row["body"], np.uint8)
+        return levels
 
     def shared(self, levels: np.ndarray) -> DataFrame:
         """(tile, node, n): the nodes that meet others in a tile. Rows without a node name the tiles of more than ``tile_rows``."""

@@ -17,6 +17,8 @@ a null doc_id too, pass through; an input column n_entities is replaced. An empt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ def kind_of(value: Column) -> Column:
     return out
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once: an expression used at many places is else copied to each, in the plan too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _stream(seed: Column) -> Column:
     return F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256))
 
@@ -62,13 +69,12 @@ def _chars(value: Column) -> Column:
     return F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
 
 
-def _like(value: Column, seed: Column, hexadecimal: Column | None = None) -> Column:
+def _like(value: Column, stream: Column, hexadecimal: Column | None = None) -> Column:
     """``value`` with each ASCII digit and letter replaced by one of its kind, by a keyed stream."""
-    stream = _stream(seed)
 
     def swap(c: Column, i: Column) -> Column:
-        h = _number(stream, (i % 64) * 2 + 1, 2)
-        out = F.when(c.between("0", "9"), (h % 10).cast("string")).when(c.between("a", "z"), F.char(h % 26 + 97)).when(c.between("A", "Z"), F.char(h % 26 + 65)).otherwise(c)
+        by = lambda h: F.when(c.between("0", "9"), (h % 10).cast("string")).when(c.between("a", "z"), F.char(h % 26 + 97)).when(c.between("A", "Z"), F.char(h % 26 + 65)).otherwise(c)
+        out = _let(_number(stream, (i % 64) * 2 + 1, 2), by)
         if hexadecimal is not None:
             low = F.lower(F.substring(stream, i % 128 + 1, F.lit(1)))
             out = F.when(hexadecimal & c.rlike("[0-9a-f]"), low).when(hexadecimal & c.rlike("[0-9A-F]"), F.upper(low)).otherwise(out)
@@ -83,19 +89,22 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, x: a + x)
 
 
+#: Of two letters each.
 _SYLLABLES = "ba be da de ga gi ka ke la le ma mi na ne pa pe ra ri sa se ta te va vi do lu mo no po ro so to".split()
 
 
 def _syllables(stream: Column, first: int, n: int) -> Column:
-    table = F.array(*[F.lit(s) for s in _SYLLABLES])
-    return F.concat(*[F.element_at(table, (_number(stream, F.lit(first + 2 * k), 2) % len(_SYLLABLES) + 1).cast("int")) for k in range(n)])
+    table = F.lit("".join(_SYLLABLES))
+    return F.concat(*[F.substring(table, (_number(stream, F.lit(first + 2 * k), 2) % len(_SYLLABLES) * 2 + 1).cast("int"), F.lit(2)) for k in range(n)])
 
 
 def _in_script_of(word: Column, made: Column) -> Column:
-    own = F.initcap(made)
-    cyrillic = F.translate(own, "abdegiklmnoprstuvBDGKLMNPRSTV", "абдегиклмнопрстувБДГКЛМНПРСТВ")
-    greek = F.translate(own, "abdegiklmnoprstuvBDGKLMNPRSTV", "αβδεγικλμνοπρστυφΒΔΓΚΛΜΝΠΡΣΤΦ")
-    return F.when(word.rlike("\\p{IsCyrillic}"), cyrillic).when(word.rlike("\\p{IsGreek}"), greek).otherwise(own)
+    def written(own: Column) -> Column:
+        cyrillic = F.translate(own, "abdegiklmnoprstuvBDGKLMNPRSTV", "абдегиклмнопрстувБДГКЛМНПРСТВ")
+        greek = F.translate(own, "abdegiklmnoprstuvBDGKLMNPRSTV", "αβδεγικλμνοπρστυφΒΔΓΚΛΜΝΠΡΣΤΦ")
+        return F.when(word.rlike("\\p{IsCyrillic}"), cyrillic).when(word.rlike("\\p{IsGreek}"), greek).otherwise(own)
+
+    return _let(F.initcap(made), written)
 
 
 def _mod97(compact: Column) -> Column:
@@ -106,42 +115,58 @@ def _mod97(compact: Column) -> Column:
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The replacement of one value; ``attempt`` (0, 1, ...) keys it anew after a collision."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
-    stream = _stream(seed)
-    like = _like(value, seed)
+
+    def keyed(x: Column) -> Column:
+        seed = F.concat_ws("\x1f", F.lit(key), x["kind"], x["value"], x["attempt"].cast("string"))
+        return _let(_stream(seed), lambda stream: _made(x["kind"], x["value"], x["attempt"], stream, key))
+
+    return _let(F.struct(kind.alias("kind"), value.alias("value"), attempt.alias("attempt")), keyed)
+
+
+def _made(kind: Column, value: Column, attempt: Column, stream: Column, key: str) -> Column:
+    like = _like(value, stream)
     local, domain = F.substring_index(value, "@", 1), F.lower(F.substring_index(value, "@", -1))
     host = F.pmod(F.xxhash64(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain)), F.lit(10**9)).cast("string")
     wider = F.when(attempt > 2, F.substring(stream, F.lit(100), F.lit(12))).otherwise("")  # letters and digits
-    email = F.concat(_like(local, seed), wider, F.lit("@"), F.when(value.rlike("[a-z]"), F.concat(F.lit("d"), host, F.lit(".example.net"))).otherwise(F.concat(F.lit("D"), host, F.lit(".EXAMPLE.NET"))))
+    at_host = _let(host, lambda host: F.when(value.rlike("[a-z]"), F.concat(F.lit("d"), host, F.lit(".example.net"))).otherwise(F.concat(F.lit("D"), host, F.lit(".EXAMPLE.NET"))))
+    email = F.concat(_like(local, stream), wider, F.lit("@"), at_host)
     octet = lambda k: (_number(stream, F.lit(1 + 4 * k), 4) % 254 + 1).cast("string")
     public = F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))
     inner = F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))
     middle = F.concat_ws(".", F.lit("172"), (_number(stream, F.lit(30), 2) % 16 + 16).cast("string"), octet(2), octet(3))
     # private networks: their own first, then a larger one, at last the addresses that nobody may use
-    private = F.when(value.startswith("10."), inner).when(attempt > 2, inner).when(value.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), octet(2), octet(3))).otherwise(middle)
+    private = F.when(value.startswith("10.") | (attempt > 2), inner).when(value.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), octet(2), octet(3))).otherwise(middle)
     reserved = F.concat_ws(".", (_number(stream, F.lit(40), 2) % 15 + 240).cast("string"), octet(1), octet(2), octet(3))
     ip = F.when(value.rlike("^(?:10|192\\.168|172\\.(?:1[6-9]|2\\d|3[01]))\\."), F.when(attempt > 8, reserved).otherwise(private)).otherwise(public)
-    lead = F.regexp_extract(value, "^(\\+\\d{1,2}(?=[ .(-])|)", 1)
-    phone = F.concat(lead, F.substring(like, F.length(lead) + 1, F.length(like)))
+    phone = _let(F.regexp_extract(value, "^(\\+\\d{1,2}(?=[ .(-])|)", 1), lambda lead: F.concat(lead, _let(like, lambda like: F.substring(like, F.length(lead) + 1, F.length(like)))))
     digits = F.translate(value, " -", "")
-    body = F.concat(F.substring(value, F.lit(1), F.lit(1)), F.substring(like, F.lit(2), F.length(like) - 2))
-    check = F.pmod(10 - _luhn(F.concat(F.translate(body, " -", ""), F.lit("0"))) % 10, F.lit(10)).cast("string")
-    card = F.concat(body, F.when(_luhn(digits) % 10 == 0, check).otherwise(F.substring(like, F.length(like), F.lit(1))))
-    country, account = F.substring(value, F.lit(1), F.lit(2)), F.substring(like, F.lit(5), F.length(like))
-    compact = F.translate(value, " ", "")
-    valid = _mod97(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, F.lit(1), F.lit(4)))) == 1
-    sign = F.lpad((98 - _mod97(F.concat(F.translate(account, " ", ""), country, F.lit("00")))).cast("string"), 2, "0")
-    bank = F.concat(country, F.when(valid, sign).otherwise(F.substring(like, F.lit(3), F.lit(2))), account)
-    secret = F.concat(F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-|)", 1), F.substring(_like(value, seed, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), F.length(F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-|)", 1)) + 1, F.length(value)))
-    title = F.substring_index(value, " ", 1)
-    family, given = F.substring_index(value, " ", -1), F.when(F.size(F.split(value, " ")) > 2, F.get(F.split(value, " "), F.lit(1)))
-    female = F.regexp_replace(title, "\\.", "").isin(TITLES_F)
-    own = lambda part, word: _stream(F.concat_ws("\x1f", F.lit(key), F.lit(part), word, attempt.cast("string")))
-    surname = _in_script_of(family, F.concat(_syllables(own("family", family), 1, 4), F.when(attempt > 2, _syllables(stream, 1, 3)).otherwise("")))
-    end = F.when(female, F.lit("ina")).otherwise(F.lit("us"))
-    first = F.when(given.isNotNull(), _in_script_of(given, F.concat(_syllables(own(F.when(female, F.lit("f")).otherwise("m"), given), 1, 3), end)))
-    name = F.concat_ws(" ", title, first, surname)
-    by_kind = {"email": email, "name": name, "phone": phone, "ip": ip, "national": like, "bank": bank, "card": card}
+
+    def card_like(like: Column) -> Column:
+        check = lambda body: F.pmod(10 - _luhn(F.concat(F.translate(body, " -", ""), F.lit("0"))) % 10, F.lit(10)).cast("string")
+        body = F.concat(F.substring(value, F.lit(1), F.lit(1)), F.substring(like, F.lit(2), F.length(like) - 2))
+        return _let(body, lambda body: F.concat(body, F.when(_luhn(digits) % 10 == 0, check(body)).otherwise(F.substring(like, F.length(like), F.lit(1)))))
+
+    def bank_like(like: Column) -> Column:
+        country, account = F.substring(value, F.lit(1), F.lit(2)), F.substring(like, F.lit(5), F.length(like))
+        compact = F.translate(value, " ", "")
+        valid = _mod97(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, F.lit(1), F.lit(4)))) == 1
+        sign = F.lpad((98 - _mod97(F.concat(F.translate(account, " ", ""), country, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(country, F.when(valid, sign).otherwise(F.substring(like, F.lit(3), F.lit(2))), account)
+
+    hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    by_case = _let(hexadecimal, lambda hexadecimal: _like(value, stream, hexadecimal))
+    secret = _let(F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-|)", 1), lambda head: F.concat(head, F.substring(by_case, F.length(head) + 1, F.length(value))))
+
+    def named(title: Column) -> Column:
+        family, given = F.substring_index(value, " ", -1), F.when(F.size(F.split(value, " ")) > 2, F.get(F.split(value, " "), F.lit(1)))
+        female = F.regexp_replace(title, "\\.", "").isin(TITLES_F)
+        syllables = lambda part, word, n: _let(_stream(F.concat_ws("\x1f", F.lit(key), F.lit(part), word, attempt.cast("string"))), lambda own: _syllables(own, 1, n))
+        surname = _in_script_of(family, F.concat(syllables("family", family, 4), F.when(attempt > 2, _syllables(stream, 1, 3)).otherwise("")))
+        end = F.when(female, F.lit("ina")).otherwise(F.lit("us"))
+        first = F.when(given.isNotNull(), _in_script_of(given, F.concat(syllables(F.when(female, F.lit("f")).otherwise("m"), given, 3), end)))
+        return F.concat_ws(" ", title, first, surname)
+
+    by_kind = {"email": email, "name": _let(F.substring_index(value, " ", 1), named), "phone": phone, "ip": ip, "national": like, "bank": _let(like, bank_like), "card": _let(like, card_like)}
     out = secret
     for k, made in by_kind.items():
         out = F.when(kind == k, made).otherwise(out)
@@ -159,17 +184,18 @@ def collisions(spark: SparkSession, values: DataFrame, key: str, rounds: int = 4
 
     Each round keys only the losers of the one before. If ``rounds`` aren't enough, ValueError tells how many are left.
     """
-    fixed = staged(spark, values.select("kind", "value", F.lit(0).alias("attempt")), "pii-values")
+    keyed = lambda frame: frame.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
+    fixed = staged(spark, keyed(values.select("kind", "value", F.lit(0).alias("attempt"))), "pii-values")
     left = fixed
     for _ in range(rounds):
-        made = fixed.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
-        taken = made.select("kind", F.col("value").alias("made"), F.lit(1).alias("original"), F.lit(None).cast("string").alias("value"))
-        owner = made.select("kind", "made", F.lit(0).alias("original"), "value").unionByName(taken).groupBy("kind", "made").agg(F.max("original").alias("original"), F.min("value").alias("owner"), F.count("value").alias("n"))
+        taken = fixed.select("kind", F.col("value").alias("made"), F.lit(1).alias("original"), F.lit(None).cast("string").alias("value"))
+        owner = fixed.select("kind", "made", F.lit(0).alias("original"), "value").unionByName(taken).groupBy("kind", "made").agg(F.max("original").alias("original"), F.min("value").alias("owner"), F.count("value").alias("n"))
         bad = owner.where("owner is not null and (original = 1 or n > 1)")
-        losers = staged(spark, made.join(bad, ["kind", "made"]).where("original = 1 or value != owner").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "pii-losers")
+        losers = staged(spark, keyed(fixed.join(bad, ["kind", "made"]).where("original = 1 or value != owner").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))), "pii-losers")
         if losers.isEmpty():
-            return fixed.where("attempt > 0")
-        before, fixed = fixed, staged(spark, fixed.join(losers.select("kind", "value", F.col("attempt").alias("next")), ["kind", "value"], "left").select("kind", "value", F.coalesce("next", "attempt").alias("attempt")), "pii-values")
+            return fixed.where("attempt > 0").select("kind", "value", "attempt")
+        anew = losers.select("kind", "value", F.col("attempt").alias("next"), F.col("made").alias("next_made"))
+        before, fixed = fixed, staged(spark, fixed.join(anew, ["kind", "value"], "left").select("kind", "value", F.coalesce("next", "attempt").alias("attempt"), F.coalesce("next_made", "made").alias("made")), "pii-values")
         discard(spark, before)
         left = losers
     raise ValueError(f"{left.count()} values have no surrogate of their own after {rounds} rounds")

@@ -163,6 +163,21 @@ def test_surrogates_keep_their_kind(spark):
     assert hosts[0].startswith("192.168.") and hosts[1].startswith("10.") and re.match(r"172\.(1[6-9]|2\d|3[01])\.", hosts[2])
 
 
+def test_surrogates_have_small_plans(spark):
+    """What surrogates share is made once: plans of thousands of nodes took the driver's memory."""
+
+    def nodes(plan):
+        own, below = plan.expressions(), plan.children()
+        return sum(own.apply(i).treeString().count("\n") for i in range(own.size())) + sum(nodes(below.apply(i)) for i in range(below.size()))
+
+    docs = spark.createDataFrame([(1, "Mr John Smith, a.b@x.com")], "doc_id long, text string")
+    assert nodes(pii_surrogates.with_surrogates(spark, docs)._jdf.queryExecution().analyzed()) < 3000
+    golden = {"Mrs Anna Maria": "Mrs Tonoteina Pamapapavamala", "4111 1111 1111 1111": "4180 8635 6397 9074", "10.1.2.3": "10.51.140.146"}
+    rows = spark.createDataFrame([(v,) for v in golden], "value string")
+    made = rows.select("value", pii_surrogates.surrogate(pii_surrogates.kind_of(F.col("value")), F.col("value"), F.lit(3), "corpus").alias("made"))
+    assert {r.value: r.made for r in made.collect()} == golden
+
+
 def test_surrogates_of_an_exhausted_network_stay_distinct(spark):
     values = [(f"192.168.{a}.{b}",) for a in range(256) for b in range(256)]
     frame = spark.createDataFrame(values, "value string").select(F.lit("ip").alias("kind"), "value")

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from meridax.llm import ngram_jaccard
@@ -90,3 +92,21 @@ def test_near_copies_cost_a_few_pairs_each(spark, monkeypatch):
     got = ngram_jaccard.ngram_classes(spark, spark.createDataFrame(rows, "doc_id long, text string"), words=5, num=80).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes(rows, 5, 80)
     assert sum(tested) <= 12 * len(rows), tested
+
+
+def test_counts_reach_the_driver_as_levels(spark, monkeypatch):
+    """A byte for each hash comes to the driver, not a count of eight."""
+    docs = spark.createDataFrame([(i, f"one two three four {i // 2} {i}") for i in range(40)], "doc_id long, text string").repartition(3)
+    join = ngram_jaccard.Join(spark, docs, words=2)
+    kind, sent = type(docs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: [sent.append(len(r["body"])) or r for r in collect(self)])
+    levels = join.levels(join.describe())
+    monkeypatch.undo()
+    counts = np.zeros(1 << ngram_jaccard.SKETCH, np.int64)
+    for part in docs.rdd.glom().collect():
+        sets = {tuple(x): x for x in ngram_jaccard.ngram_sets(*ngram_jaccard.utf8(pa.array([r.text for r in part])), 2)} if part else {}
+        for x in sets.values():
+            counts += np.bincount(ngram_jaccard._slot(x), minlength=len(counts))
+    assert levels.dtype == np.uint8 and (levels == ngram_jaccard.rarity(counts)).all() and levels.max() > 0
+    assert 0 < sum(sent) <= 1 << ngram_jaccard.SKETCH
