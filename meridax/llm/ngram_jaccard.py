@@ -9,7 +9,7 @@
    each pair that can link meets in a tile. In a tile, the bits in which two bitmaps differ are at most the n-grams in
    which the sets differ, which bounds the overlap from above. Pairs within the bound are intersected as sorted arrays.
 4. First, a node is paired in each tile with the smallest one before it within the bound only, and of these pairs the few that most
-   tiles give are tested. Then up to two rounds test a few pairs of each node with nodes that aren't connected to it yet, by a hash that
+   tiles give are tested. Small tiles list all their pairs within the bound in the same pass and end there; later steps take these from the list. Then up to two rounds test a few pairs of each node with nodes that aren't connected to it yet, by a hash that
    differs by round. The links connect most of what links at all; a large group of near copies costs a few pairs a node.
    Tiles without a pair within the bound end after the first pass.
 5. Then the tiles whose nodes aren't all connected yet give all pairs within the bound whose ends are not connected. In
@@ -37,8 +37,10 @@ from meridax.llm.components import components
 
 NO_ID = np.iinfo(np.int64).max
 SKETCH, SLICE = 21, 1 << 16  # counts by hash: 2**21 of them, sent in slices
+ASKED, PART = 24, 1 << 18  # a bitmap of 2**24 keys of texts that are asked for, made in parts
 TRIES, ROUNDS = 4, 2  # so many pairs of a node are tested in a round, before all pairs that are left
 FEW = 64  # tiles up to this size are compared all at once
+LISTED = 16  # of tiles up to this size the first pass gives all pairs within the bound
 LEAST_BITS, MOST_BITS = 1 << 7, 1 << 15
 
 
@@ -145,18 +147,22 @@ class Tiles:
                 out[rows[some]] = (self.den + self.num) * bound >= self.num * both[some]
         return out
 
-    def first_pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each row with the first one before it in its tile within the bound."""
-        found = [np.zeros((2, 0), np.int64)]
+    def first_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row with the first one before it in its tile within the bound, in tiles above ``LISTED`` (kind 0) and up to it (1), there with all other pairs within the bound (2)."""
+        found = [np.zeros((3, 0), np.int64)]
+        listed = self.sizes[self.tile] <= LISTED if len(self.tile) else np.zeros(0, bool)
         small = np.flatnonzero((self.sizes[self.tile] <= FEW) if len(self.tile) else [])
         first = np.full(len(self.tile), -1)
         for k in range(int(self.sizes[self.sizes <= FEW].max(initial=1)) - 1, 0, -1):  # the farthest first, so that the nearest to the start stays last
             i = small[:-k][self.tile[small[:-k]] == self.tile[small[k:]]]
-            i = i[first[i + k] < 0]
+            i = i[listed[i] | (first[i + k] < 0)]
             i = i[self.within(i, i + k)]
+            other = first[i + k] >= 0
+            found.append(np.stack([i[other], i[other] + k, np.full(int(other.sum()), 2)]))
+            i = i[~other]
             first[i + k] = i
         j = np.flatnonzero(first >= 0)
-        found.append(np.stack([first[j], j]))
+        found.append(np.stack([first[j], j, listed[j]]))
         for a, m in zip(self.starts[self.sizes > FEW].tolist(), self.sizes[self.sizes > FEW].tolist()):
             left = np.arange(a + 1, a + m)
             for i in range(a, a + m - 1):
@@ -164,7 +170,7 @@ class Tiles:
                 if not len(left):
                     break
                 hit = self.within(np.full(len(left), i), left)
-                found.append(np.stack([np.full(int(hit.sum()), i), left[hit]]))
+                found.append(np.stack([np.full(int(hit.sum()), i), left[hit], np.zeros(int(hit.sum()), np.int64)]))
                 left = left[~hit]
         return tuple(np.concatenate(found, 1))
 
@@ -258,6 +264,7 @@ class Join:
     def describe(self) -> DataFrame:
         """Kind 0, a row of the input: doc_id, text_key, n, node, body (its bitmap). Kind 1: a slice of a task's counts."""
         sets_of, names = self.sets_of(), ["kind", "doc_id", "text_key", "n", "node", "body"]
+        share = 5 * (self.den - self.num) / self.den  # unlike sets differ in half the bits, linked ones in about 2 (1 - t) / (1 + t) of their n-grams
 
         def run(batches):
             counts, seen = np.zeros(1 << SKETCH, np.int64), set()
@@ -266,7 +273,7 @@ class Join:
                 fresh = [x for k, x in zip(keys, sets) if k not in seen and not seen.add(k) and len(x)]
                 if fresh:
                     counts += np.bincount(_slot(np.concatenate(fresh)), minlength=1 << SKETCH)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column(0), batch.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([bitmap(x, 1) if len(x) else None for x in sets], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column(0), batch.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([bitmap(x, share) if len(x) else None for x in sets], pa.binary())], names)
             if counts.any():
                 parts = [zstandard.compress(counts[a : a + SLICE].astype("<u4").tobytes(), 1) for a in range(0, 1 << SKETCH, SLICE)]
                 none = pa.nulls(len(parts), pa.int64())
@@ -358,17 +365,17 @@ class Join:
         return staged(self.spark, found, "ngram-shared")
 
     def first_pairs(self, shared: DataFrame, nodes: DataFrame) -> DataFrame:
-        """(tile, u, v): each node v of a tile with the first one u before it within the bound."""
+        """(tile, u, v, kind): each node v of a tile with the first one u before it within the bound, and all pairs of small tiles, by kind."""
         num, den, most = self.num, self.den, self.tile_rows
 
         def pair(batches):
             for tile, table in _aligned(batches, ["tile"], 20_000, most):
                 node, name = table["node"].to_numpy(), table["tile"].to_numpy()
-                i, j = Tiles(tile, table["n"].to_numpy().astype(np.int64), _one(table["body"]), num, den).first_pairs()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name[j], node[i], node[j])], ["tile", "u", "v"])
+                i, j, kind = Tiles(tile, table["n"].to_numpy().astype(np.int64), _one(table["body"]), num, den).first_pairs()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name[j], node[i], node[j], kind.astype(np.int32))], ["tile", "u", "v", "kind"])
 
         rows = shared.where("node is not null").join(nodes.select("node", "body"), "node").select("tile", "n", "node", "body")
-        return staged(self.spark, rows.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(pair, "tile long, u long, v long").where("u != v"), "ngram-met")
+        return staged(self.spark, rows.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(pair, "tile long, u long, v long, kind int").where("u != v"), "ngram-met")
 
     @staticmethod
     def few_of_each(pairs: DataFrame, order: Column) -> DataFrame:
@@ -376,7 +383,12 @@ class Join:
         best = pairs.groupBy("u", "v").agg(order.alias("k")).groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "u")), False), 1, TRIES).alias("best"))
         return best.select("v", F.explode("best").alias("x")).select("x.u", "v")
 
-    def more_pairs(self, rows: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+    @staticmethod
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs whose ends aren't connected yet."""
+        return pairs.join(labels.toDF("u", "a"), "u").join(labels.toDF("v", "b"), "v").where("a != b").select("u", "v")
+
+    def more_pairs(self, rows: DataFrame, listed: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
         """For each node a few pairs within the bound whose ends aren't connected, without those tested, by a hash that differs by turn."""
         num, den, most = self.num, self.den, self.tile_rows
         salt = mix(np.array([turn + 1], U64))
@@ -404,7 +416,8 @@ class Join:
 
         about = nodes.select("node", "body").join(labels, "node")
         dealt = rows.join(about, "node").select("tile", "n", "node", "label", "body").repartition("tile").sortWithinPartitions("tile", "n", "node")
-        return self.few_of_each(self.untested(dealt.mapInArrow(pair, "u long, v long").distinct(), tested), F.first(F.xxhash64(F.lit(turn), "u", "v")))
+        pairs = dealt.mapInArrow(pair, "u long, v long").unionByName(self.apart(listed, labels)).distinct()
+        return self.few_of_each(self.untested(pairs, tested), F.first(F.xxhash64(F.lit(turn), "u", "v")))
 
     @staticmethod
     def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -417,8 +430,8 @@ class Join:
         parts = components(self.spark, ends).toDF("label", "part")
         return staged(self.spark, labels.join(parts, "label", "left").select("node", F.coalesce("part", "label").alias("label")), "ngram-labels")
 
-    def other_pairs(self, rows: DataFrame, large: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-        """What is within the bound in the tiles that hold more than one connected part, without the pairs tested already."""
+    def other_pairs(self, rows: DataFrame, listed: DataFrame, large: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+        """What is listed or within the bound in the tiles that hold more than one connected part, without the pairs tested already."""
         num, den, chunk = self.num, self.den, max(1, self.tile_rows // 2)
 
         def pair(batches):
@@ -452,7 +465,33 @@ class Join:
             every = held.select(F.col("tile"), F.pmod(spot, "ca").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("b"), "n", "node", "label", F.lit(False).alias("few"), "body")
             some = held.where("few").select("tile", F.explode(F.sequence(F.lit(0), F.col("ca") - 1)).alias("a"), F.pmod(spot, "cb").cast("int").alias("b"), "n", "node", "label", "few", "body")
             dealt = dealt.unionByName(every.unionByName(some).select(F.xxhash64("tile", "a", "b").alias("tile"), "n", "node", "label", "few", "body"))
-        return self.untested(dealt.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(pair, "u long, v long").distinct(), tested)
+        pairs = dealt.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(pair, "u long, v long")
+        pairs = pairs.unionByName(self.apart(listed, labels).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        return self.untested(pairs.distinct(), tested)
+
+    def asked_texts(self, wanted: DataFrame) -> DataFrame:
+        """The texts whose keys are in ``wanted``, with a few others: a bitmap of the keys, fixed in size, goes to all tasks, so that the rest stays where it is."""
+        portion_bytes = self.portion_bytes
+
+        def unite(table: pa.Table) -> pa.Table:
+            bits = np.zeros(PART, bool)
+            bits[table["spot"].to_numpy() % PART] = True
+            return pa.table({"part": table["part"][:1], "body": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        spots = wanted.select(F.col("text_key").bitwiseAND((1 << ASKED) - 1).alias("spot")).distinct()
+        bits = np.zeros(1 << ASKED >> 3, np.uint8)
+        for row in spots.withColumn("part", F.floor(F.col("spot") / PART)).groupBy("part").applyInArrow(unite, "part long, body binary").collect():
+            bits[row["part"] * PART >> 3 : (row["part"] + 1) * PART >> 3] = np.frombuffer(row["body"], np.uint8)
+        table = self.spark.sparkContext.broadcast(bits)
+
+        def among(batches):
+            for batch in portions(batches, "text", portion_bytes):
+                spot = longs(batch.column(2)) & ((1 << ASKED) - 1)
+                keep = np.flatnonzero(table.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+                if len(keep):
+                    yield batch.take(pa.array(keep))
+
+        return self.texts.select("doc_id", "text", "text_key").mapInArrow(among, "doc_id long, text string, text_key long")
 
     def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (u, v) that link: u's set meets those of its v in one or more jobs, as many as their n-grams need."""
@@ -460,7 +499,7 @@ class Join:
         sizes = pairs.join(nodes.select(F.col("node").alias("v"), "n"), "v").groupBy("u").agg(F.ceil(F.sum("n") / self.job_ngrams).cast("int").alias("jobs"))
         jobs = pairs.join(sizes, "u").select("u", "v", F.pmod(F.xxhash64("v"), "jobs").cast("int").alias("job"))
         asked = jobs.select(F.col("v").alias("node"), "u", "job", F.lit(1).alias("turn")).unionByName(jobs.select(F.col("u").alias("node"), "u", "job", F.lit(0).alias("turn")).distinct())
-        wanted = asked.groupBy("node").agg(F.collect_list(F.struct("u", "job", "turn")).alias("asked")).join(nodes.select("node", "doc_id", "text_key"), "node")
+        wanted = staged(self.spark, asked.groupBy("node").agg(F.collect_list(F.struct("u", "job", "turn")).alias("asked")).join(nodes.select("node", "doc_id", "text_key"), "node"), "ngram-asked")
 
         def deal(batches):
             for batch, sets in sets_of(batches):
@@ -480,9 +519,11 @@ class Join:
                         found.append((u, node))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=_PAIR)
 
-        rows = self.texts.join(wanted, ["doc_id", "text_key"]).select("text", "node", "asked")
+        rows = self.asked_texts(wanted).join(wanted, ["doc_id", "text_key"]).select("text", "node", "asked")
         sent = rows.mapInArrow(deal, "u long, job int, turn int, node long, grams binary").repartition("u", "job").sortWithinPartitions("u", "job", "turn")
-        return staged(self.spark, sent.mapInArrow(check, "u long, v long"), "ngram-links")
+        out = staged(self.spark, sent.mapInArrow(check, "u long, v long"), "ngram-links")
+        discard(self.spark, wanted)
+        return out
 
     def run(self) -> DataFrame:
         about = self.describe()
@@ -492,21 +533,22 @@ class Join:
         shared = self.shared(self.levels(about))
         met = self.first_pairs(shared, nodes)
         large = staged(self.spark, shared.where("node is null").select("tile").distinct(), "ngram-large")
-        # of the tiles with a pair within the bound, and of those too large to tell
-        tiles = staged(self.spark, shared.where("node is not null").join(met.select("tile").unionByName(large).distinct(), "tile", "left_semi"), "ngram-tiles")
+        # of the tiles with a pair within the bound whose pairs aren't all listed, and of those too large to tell
+        tiles = staged(self.spark, shared.where("node is not null").join(met.where("kind = 0").select("tile").unionByName(large).distinct(), "tile", "left_semi"), "ngram-tiles")
         discard(self.spark, shared)
-        tested = staged(self.spark, self.few_of_each(met, F.count("*")), "ngram-pairs")
+        listed = staged(self.spark, met.where("kind > 0").select("u", "v").distinct(), "ngram-listed")
+        tested = staged(self.spark, self.few_of_each(met.where("kind < 2"), F.count("*")), "ngram-pairs")
         discard(self.spark, met)
-        used = [tiles, large, tested]
+        used = [tiles, listed, large, tested]
         labels = self.merged(nodes.select("node", F.col("node").alias("label")), self.links(tested, nodes))
         for turn in range(ROUNDS):
-            more = staged(self.spark, self.more_pairs(tiles, nodes, labels, tested, turn), "ngram-pairs")
+            more = staged(self.spark, self.more_pairs(tiles, listed, nodes, labels, tested, turn), "ngram-pairs")
             used.append(more)
             links, tested = self.links(more, nodes), tested.unionByName(more)
             if links.isEmpty():
                 break
             labels = self.merged(labels, links)
-        others = staged(self.spark, self.other_pairs(tiles, large, nodes, labels, tested), "ngram-pairs")
+        others = staged(self.spark, self.other_pairs(tiles, listed, large, nodes, labels, tested), "ngram-pairs")
         if not others.isEmpty():
             labels = self.merged(labels, self.links(others, nodes))
         classes = nodes.join(labels, "node").select("node", "doc_id", F.col("label").alias("component"))

@@ -110,3 +110,85 @@ def test_counts_reach_the_driver_as_levels(spark, monkeypatch):
             counts += np.bincount(ngram_jaccard._slot(x), minlength=len(counts))
     assert levels.dtype == np.uint8 and (levels == ngram_jaccard.rarity(counts)).all() and levels.max() > 0
     assert 0 < sum(sent) <= 1 << ngram_jaccard.SKETCH
+
+
+def few_near_copies():
+    """Long texts of words of their own, of which six have a near copy."""
+    draw = random.Random(7)
+    rows = [(i, " ".join(f"{draw.randrange(10**6):x}" for _ in range(400))) for i in range(200)]
+    return rows + [(1000 + i, rows[i][1] + " end") for i in range(6)]
+
+
+def test_texts_that_no_pair_asks_for_are_not_shuffled(spark, monkeypatch):
+    rows, sent = few_near_copies(), []
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    links = ngram_jaccard.Join.links
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    def measured(self, pairs, nodes):
+        before = shuffled()
+        out = links(self, pairs, nodes)
+        sent.append(shuffled() - before)
+        return out
+
+    monkeypatch.setattr(ngram_jaccard.Join, "links", measured)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as with more pairs than can be broadcast
+    try:
+        got = ngram_jaccard.ngram_classes(spark, docs, words=3, num=90).collect()
+    finally:
+        spark.conf.set(key, usual)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes(rows, 3, 90)
+    assert sent and max(sent) < 0.25 * sum(len(t) for _, t in rows), sent
+
+
+def test_keys_of_asked_texts_lose_none(spark):
+    """Rows with the same key as an asked one stay, whatever their ids; others go but for a few."""
+    rows = [(i, f"text {i % 500}") for i in range(1000)] + [(None, None), (None, "text 3"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    join = ngram_jaccard.Join(spark, docs)
+    asked = [None, "", *(f"text {i}" for i in range(0, 500, 50))]
+    wanted = join.texts.where("text is null or text in ({})".format(", ".join(f"'{t}'" for t in asked if t is not None)))
+    got = join.asked_texts(wanted).collect()
+    least = sorted(map(tuple, wanted.select("doc_id", "text_key").collect()))
+    assert len(least) == 2 * 10 + 2 and set(least) <= {(r.doc_id, r.text_key) for r in got} and len(got) < len(least) + 5
+    assert join.asked_texts(wanted.where("false")).count() == 0
+
+
+def test_small_tiles_are_sent_once(spark, monkeypatch):
+    rows, tiles = few_near_copies(), []
+    for name in ("more_pairs", "other_pairs"):
+        step = getattr(ngram_jaccard.Join, name)
+        monkeypatch.setattr(ngram_jaccard.Join, name, lambda self, rows, *rest, step=step: [tiles.append(rows.count())] and step(self, rows, *rest))
+    got = ngram_jaccard.ngram_classes(spark, spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes(rows, 3, 90)
+    assert tiles and sum(tiles) == 0, tiles
+
+
+def test_small_tiles_list_all_pairs_within_the_bound():
+    draw = np.random.default_rng(11)
+    bodies, tile, n = [], [], []
+    for t, size in enumerate((2, 9, ngram_jaccard.LISTED, ngram_jaccard.LISTED + 1, ngram_jaccard.FEW + 6)):
+        base = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
+        for _ in range(size):
+            own = base.copy()
+            own[: draw.integers(0, 40)] = draw.integers(0, 1 << 63, 1, dtype=np.uint64)[0]
+            bodies.append(ngram_jaccard.bitmap(np.unique(own), 0.5)), tile.append(t), n.append(len(np.unique(own)))
+    order = np.lexsort((n, tile))
+    tile, n, bodies = np.array(tile)[order], np.array(n, np.int64)[order], pa.array([bodies[i] for i in order], pa.binary())
+    tiles = ngram_jaccard.Tiles(tile, n, bodies, 90, 100)
+    i, j = np.triu_indices(len(tile), 1)
+    i, j = (x[tile[i] == tile[j]] for x in (i, j))
+    i, j = (x[tiles.within(i, j)] for x in (i, j))
+    size = np.bincount(tile)[tile]
+    a, b, kind = tiles.first_pairs()
+    first = {(y, min(i[j == y])) for y in set(j.tolist())}
+    assert {(y, x) for x, y in zip(a[kind < 2].tolist(), b[kind < 2].tolist())} == first
+    assert (kind == 0).sum() and (kind == 2).sum() and ((kind == 0) == (size[b] > ngram_jaccard.LISTED)).all()
+    listed = size[i] <= ngram_jaccard.LISTED
+    assert sorted(zip(a[kind > 0].tolist(), b[kind > 0].tolist())) == sorted(zip(i[listed].tolist(), j[listed].tolist()))
